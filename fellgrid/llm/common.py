@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=float))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=float))
         group = (np.cumsum(sizes) // most).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
