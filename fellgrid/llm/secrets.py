@@ -274,10 +274,10 @@ def scan_secrets(docs: DataFrame, field: SecretField | None, *, text: str = "tex
     body = docs.drop(*new) if redact is None else docs
     names = body.columns
     where = names.index(text)
-    shared = body.sparkSession.sparkContext.broadcast(field)
+    shared = body.sparkSession.sparkContext.broadcast(None if field is None else (field.names, field.weights, field.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = None if shared.value is None else SecretField(*shared.value)
         for batch in slices(batches, text):
             rows = []
             nulls = batch.column(where).is_null().to_pylist()
