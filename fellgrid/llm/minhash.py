@@ -22,7 +22,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -101,62 +100,82 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _tile(percent: int, first: int, best: int | None):
+def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, heads: list[np.ndarray], percent: int, first: int, best: int | None) -> list[tuple[int, int, bool]]:
     """Candidate pairs across components within one block of one list, by the first values of the sets.
 
     Returns (a, b, sure): sure pairs are decided (both sets are whole here); of those only a spanning forest
     is returned.  Of the others each member outside the main component brings its ``best`` (None: all).
     """
+    names, flat = np.unique(np.concatenate(heads), return_inverse=True)
+    length = np.array([len(x) for x in heads])
+    starts = np.r_[0, np.cumsum(length)[:-1]]
+    table = np.full((len(heads), length.max()), np.iinfo(np.int64).max)
+    for row, x in zip(table, heads):
+        row[: len(x)] = x
+    tail = np.where(n > first, np.array([x[-1] for x in heads]), np.iinfo(np.int64).max - 1)
+    least = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / first)
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    pairs = []
+    for i in np.flatnonzero(out):
+        mark = np.zeros(len(names), np.int64)
+        mark[flat[starts[i] : starts[i] + length[i]]] = 1
+        both = np.add.reduceat(mark[flat], starts)
+        js = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])) & (both > 0) & (~out | (np.arange(len(ids)) > i)))
+        if not len(js):
+            continue
+        # up to the smaller tail both sets are known in whole: their overlap there estimates that of the sets
+        end = np.minimum(tail[i], tail[js])
+        union = np.searchsorted(heads[i], end, side="right") + (table[js] <= end[:, None]).sum(1) - both[js]
+        whole = (n[js] <= first) & (n[i] <= first)
+        for j in js[whole & (100 * both[js] >= percent * union)]:
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                pairs.append((int(ids[i]), int(ids[j]), True))
+        may = np.flatnonzero(~whole & (both[js] >= least * union))
+        order = np.argsort(-both[js][may] / union[may], kind="stable")[:best]
+        pairs += [(int(ids[i]), int(ids[j]), False) for j in js[may[order]]]
+    return pairs
+
+
+def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> DataFrame:
+    """``_tile`` for each (v, part); the rows of a tile come one after the other."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
-        heads = [_values(x) for x in group["head"]]
-        ids, comp, n, out = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy(), group["out"].to_numpy(bool)
-        names, flat = np.unique(np.concatenate(heads), return_inverse=True)
-        rows = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
-        probes = np.flatnonzero(out)
-        a, b, sure = [], [], []
-        root = {c: c for c in np.unique(comp)}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        order = np.argsort(flat, kind="stable")
-        starts = np.searchsorted(flat[order], np.arange(len(names) + 1))
-        for i in probes:
-            mine = flat[rows == i] if len(heads) < 64 else np.searchsorted(names, heads[i])
-            met = np.concatenate([rows[order[starts[v] : starts[v + 1]]] for v in mine])
-            both = np.bincount(met, minlength=len(ids))
-            other = (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])) & (both > 0)
-            other &= ~out | (np.arange(len(ids)) > i)
-            js = np.flatnonzero(other)
-            if not len(js):
-                continue
-            whole = (n[js] <= first) & (n[i] <= first)
-            exact = 100 * both[js] >= percent * (n[js] + n[i] - both[js])
-            for j in js[whole & exact]:
-                x, y = find(comp[i]), find(comp[j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a.append(ids[i]), b.append(ids[j]), sure.append(True)
-            rest = js[~whole]
-            if len(rest):
-                estimates = []
-                for j in rest:
-                    union = np.union1d(heads[i], heads[j])[:first]
-                    shared = np.isin(union, heads[i], assume_unique=True) & np.isin(union, heads[j], assume_unique=True)
-                    estimates.append(shared.mean())
-                estimates = np.array(estimates)
-                least = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / first)
-                may = np.flatnonzero(estimates >= least)
-                for j in rest[may[np.argsort(-estimates[may], kind="stable")][:best]]:
-                    a.append(ids[i]), b.append(ids[j]), sure.append(False)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "sure": np.array(sure, bool)})
-
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(group)
+            ids, comp, n, out = (t.column(i).to_numpy() for i in (2, 4, 3, 5))
+            keep = np.unique(ids, return_index=True)[1]
+            heads = t.column(6).to_pylist()
+            found = _tile(ids[keep], comp[keep], n[keep], out[keep].astype(bool), [_values(heads[k]) for k in keep], percent, first, best)
+            cols = list(zip(*found)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(cols[0], cols[1])], pa.int64()), pa.array([max(x) for x in zip(cols[0], cols[1])], pa.int64()), pa.array(cols[2], pa.bool_())], ["a", "b", "sure"])
+
+        group: list[pa.RecordBatch] = []
+        held = None
+        for batch in batches:
+            v, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.r_[0, np.flatnonzero((v[1:] != v[:-1]) | (part[1:] != part[:-1])) + 1, len(v)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if group and held != (v[a], part[a]):
+                    yield done(group)
+                    group = []
+                held = (v[a], part[a])
+                group.append(batch.slice(a, b - a))
+        if group:
+            yield done(group)
+
+    order = tiles.select("v", "part", "id", "n", "component", "out", "head").repartition("v", "part").sortWithinPartitions("v", "part")
+    return order.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = 64, first: int = 256, block: int = 256) -> DataFrame:
@@ -209,20 +228,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = cut(_verify(likely, sets, percent), "links")
 
     nodes = cut(members, "nodes")
+    heads = sets.select("id", F.substring("body", 1, _BYTES * first).alias("head"))
+    sign = F.xxhash64("id")
     for best in (2, None):
         comp = cut(components(nodes, links), "comp")
         placed = postings.join(comp, "id")
-        open_lists = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("v", "c")
+        # a list of two is its pivot and one member, which were compared; lists with the same members are searched once
+        lists = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.bit_xor(sign).alias("x"), F.sum(F.shiftright(sign, 32)).alias("s"))
+        open_lists = cut(lists.filter("lo < hi and c > 2").groupBy("c", "x", "s").agg(F.min("v").alias("v")).select("v", "c"), "open")
+        if open_lists.limit(1).count() == 0:
+            break
         placed = cut(placed.join(open_lists, "v"), "placed")
         parts = placed.groupBy("v", "component").agg(F.count("*").alias("held"))
         main = parts.groupBy("v").agg(F.max(F.struct("held", (-F.col("component")).alias("minus"))).alias("m")).select("v", (-F.col("m.minus")).alias("main"))
-        heads = sets.select("id", F.substring("body", 1, _BYTES * first).alias("head"))
         blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-        own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        own_block = F.pmod(sign, blocks).cast("int")
         dealt = placed.join(main, "v").withColumn("out", F.col("component") != F.col("main"))
         dealt = dealt.withColumn("part", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own_block))))
-        tiles = dealt.select("v", "part", "id", "n", "component", "out").join(heads, "id")
-        found = cut(tiles.groupBy("v", "part").applyInPandas(_tile(percent, first, best), "a long, b long, sure boolean").distinct(), "found")
+        found = cut(_search(dealt.join(heads, "id"), percent, first, best).distinct(), "found")
         more = found.filter("sure").select("a", "b").unionByName(_verify(found.filter("not sure"), sets, percent))
         links = cut(links.unionByName(more).distinct(), "links")
     final = components(nodes, links)
