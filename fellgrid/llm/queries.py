@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding, langid, minhash, mixing, secrets, suffix_tree, urls
+from . import decontam, embedding, langid, minhash, mixing, secrets, suffix_tree, token_counts, urls
 
 #: The rules that the url query applies (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,6 +61,10 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_lm_scores": op9_lm_scores,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
