@@ -100,11 +100,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, heads: list[np.ndarray], percent: int, first: int, best: int | None) -> list[tuple[int, int, bool]]:
+def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, heads: list[np.ndarray], percent: int, first: int, best: int | None) -> tuple[list[tuple[int, int, bool]], bool]:
     """Candidate pairs across components within one block of one list, by the first values of the sets.
 
     Returns (a, b, sure): sure pairs are decided (both sets are whole here); of those only a spanning forest
-    is returned.  Of the others each member outside the main component brings its ``best`` (None: all).
+    is returned.  Of the others each member outside the main component brings its ``best`` (None: all); the
+    second value says whether that left any out.
     """
     names, flat = np.unique(np.concatenate(heads), return_inverse=True)
     length = np.array([len(x) for x in heads])
@@ -122,7 +123,7 @@ def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, hea
             c = root[c]
         return c
 
-    pairs = []
+    pairs, more = [], False
     for i in np.flatnonzero(out):
         mark = np.zeros(len(names), np.int64)
         mark[flat[starts[i] : starts[i] + length[i]]] = 1
@@ -142,11 +143,12 @@ def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, hea
         may = np.flatnonzero(~whole & (both[js] >= least * union))
         order = np.argsort(-both[js][may] / union[may], kind="stable")[:best]
         pairs += [(int(ids[i]), int(ids[j]), False) for j in js[may[order]]]
-    return pairs
+        more |= len(order) < len(may)
+    return pairs, more
 
 
 def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> DataFrame:
-    """``_tile`` for each (v, part); the rows of a tile come one after the other."""
+    """``_tile`` for each (v, part); the rows of a tile come one after the other.  A row (v, part, null) marks a tile that left candidates out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -154,9 +156,10 @@ def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> Dat
             ids, comp, n, out = (t.column(i).to_numpy() for i in (2, 4, 3, 5))
             keep = np.unique(ids, return_index=True)[1]
             heads = t.column(6).to_pylist()
-            found = _tile(ids[keep], comp[keep], n[keep], out[keep].astype(bool), [_values(heads[k]) for k in keep], percent, first, best)
-            cols = list(zip(*found)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(cols[0], cols[1])], pa.int64()), pa.array([max(x) for x in zip(cols[0], cols[1])], pa.int64()), pa.array(cols[2], pa.bool_())], ["a", "b", "sure"])
+            found, more = _tile(ids[keep], comp[keep], n[keep], out[keep].astype(bool), [_values(heads[k]) for k in keep], percent, first, best)
+            rows = [(min(a, b), max(a, b), sure) for a, b, sure in found] + [(t.column(0)[0].as_py(), t.column(1)[0].as_py(), None)] * more
+            cols = list(zip(*rows)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "sure"])
 
         group: list[pa.RecordBatch] = []
         held = None
@@ -178,7 +181,7 @@ def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> Dat
     return order.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = 64, first: int = 256, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = 64, first: int = 256, block: int = 1024) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
     Two rows are linked if their sets of ``size``-word shingles have 100 * intersection >= ``percent`` * union;
@@ -230,12 +233,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     nodes = cut(members, "nodes")
     heads = sets.select("id", F.substring("body", 1, _BYTES * first).alias("head"))
     sign = F.xxhash64("id")
+    left = None
     for best in (2, None):
         comp = cut(components(nodes, links), "comp")
         placed = postings.join(comp, "id")
         # a list of two is its pivot and one member, which were compared; lists with the same members are searched once
         lists = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.bit_xor(sign).alias("x"), F.sum(F.shiftright(sign, 32)).alias("s"))
         open_lists = cut(lists.filter("lo < hi and c > 2").groupBy("c", "x", "s").agg(F.min("v").alias("v")).select("v", "c"), "open")
+        if left is not None:
+            open_lists = open_lists.join(left, "v", "left_semi")
         if open_lists.limit(1).count() == 0:
             break
         placed = cut(placed.join(open_lists, "v"), "placed")
@@ -248,6 +254,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         found = cut(_search(dealt.join(heads, "id"), percent, first, best).distinct(), "found")
         more = found.filter("sure").select("a", "b").unionByName(_verify(found.filter("not sure"), sets, percent))
         links = cut(links.unionByName(more).distinct(), "links")
+        left = found.filter("sure is null").select(F.col("a").alias("v")).distinct()
     final = components(nodes, links)
 
     named = classes.select("digest", F.col("rep").alias("id")).join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
