@@ -12,16 +12,16 @@ stretch the language stays, between stretches it may change, which is what the t
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, slices
+from .common import byte_rows, mix, slices
 
 #: Longest part of a word that makes features: whole words up to this size, and both ends of longer ones.
 _PART = 24
@@ -31,18 +31,36 @@ def has_letter(word: bytes) -> bool:
     return any(c.isalpha() for c in word.decode("utf-8", "replace"))
 
 
-def features(word: bytes, slots: int) -> list[int]:
-    """Slots of a lower-cased word's features; none if it has no letter."""
-    if not word.isalpha() and not has_letter(word):
-        return []
-    crc = zlib.crc32
-    seen = [crc(word, 1)]
-    if len(word) > 2 * _PART:
-        word = word[:_PART] + word[-_PART:]
-    seen += [crc(word[:i], 2) for i in (1, 2, 3)] + [crc(word[-i:], 3) for i in (1, 2, 3)]
-    marked = b"^" + word + b"$"
-    seen += [crc(marked[i : i + 3], 4) for i in range(len(marked) - 2)]
-    return [x % slots for x in seen]
+def features(words: list[bytes], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, slot) of the features of lower-cased words, by word; none for words without letters."""
+    real = np.array([w.isalpha() or has_letter(w) for w in words], bool)
+    kept = np.flatnonzero(real)
+    if not len(kept):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in kept], np.uint64)
+    cut = [w if len(w) <= 2 * _PART else w[:_PART] + w[-_PART:] for w in (words[i] for i in kept)]
+    raw = np.frombuffer(b"^" + b"$^".join(cut) + b"$", np.uint8).astype(np.uint64)
+    size = np.array([len(w) for w in cut], np.int64)
+    first = np.r_[0, np.cumsum(size + 2)[:-1]] + 1
+    last = first + size - 1
+    number = np.repeat(np.arange(len(kept)), size)
+    # the three-byte windows of each marked word
+    at = np.arange(len(number)) + 2 * number
+    owner, code = [number], [raw[at] | raw[at + 1] << np.uint64(8) | raw[at + 2] << np.uint64(16) | np.uint64(4 << 40)]
+    for n in (1, 2, 3):
+        here = np.flatnonzero(size >= n)
+        head, tail = np.zeros(len(here), np.uint64), np.zeros(len(here), np.uint64)
+        for i in range(n):
+            head = head << np.uint64(8) | raw[first[here] + i]
+            tail = tail << np.uint64(8) | raw[last[here] - i]
+        owner += [here, here]
+        code += [head | np.uint64((8 + n) << 40), tail | np.uint64((16 + n) << 40)]
+    owner.append(np.arange(len(kept)))
+    code.append(whole)
+    slot = (mix(np.concatenate(code)) % np.uint64(slots)).astype(np.int64)
+    owner = kept[np.concatenate(owner)]
+    order = np.argsort(owner, kind="stable")
+    return owner[order], slot[order]
 
 
 @dataclass
@@ -53,9 +71,11 @@ class Crf:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def emission(self, word: bytes) -> np.ndarray | None:
-        found = features(word, len(self.weights))
-        return self.weights[found].sum(0) if found else None
+    def emissions(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(score of each language, has features) for each word."""
+        owner, slot = features([_lower(w) for w in words], len(self.weights))
+        scores = np.stack([np.bincount(owner, self.weights[slot, y], minlength=len(words)) for y in range(len(self.labels))], 1)
+        return scores.astype(np.float32), np.bincount(owner, minlength=len(words)) > 0
 
 
 def _lower(word: bytes) -> bytes:
@@ -74,28 +94,34 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.nda
     if not total:
         return (scores, np.zeros((size, size))) if pairs else scores
     hop = np.exp(transitions - transitions.max())
-    near = np.exp(scores - scores.max(1, keepdims=True))
+    turned = np.ascontiguousarray(hop.T)
     lanes = -(-total // width)
     pad = lanes * width - total
-    near = np.vstack([near, np.ones((pad, size))]).reshape(lanes, width, size)
+    near = np.ones((lanes * width, size))
+    np.exp(scores - scores.max(1, keepdims=True), out=near[:total])
+    # by position within the stretch, so that each step reads and writes one block
+    near = np.ascontiguousarray(near.reshape(lanes, width, size).transpose(1, 0, 2))
     first = np.r_[starts, np.ones(pad, bool)].reshape(lanes, width)
+    begins = [np.flatnonzero(first[:, t]) for t in range(width)]
+
+    def settle(v: np.ndarray, t: int) -> np.ndarray:
+        """Keep messages in range; every few steps is enough, as each step has a label of weight 1."""
+        return v / v.sum(axis=tuple(range(1, v.ndim)), keepdims=True) if t % 4 == 0 else v
 
     def step(v: np.ndarray, t: int) -> np.ndarray:
-        """Forward message (rows of) v to position t of each lane; a chain's start forgets it."""
-        f = first[:, t]
-        moved = v @ hop
-        if f.any():
-            moved[f] = 1.0
-        moved = moved * (near[:, t] if v.ndim == 2 else near[:, t, None])
-        return moved / moved.sum(axis=tuple(range(1, v.ndim)), keepdims=True)
+        """Forward messages (rows of v) to position t of each lane; a chain's start forgets them."""
+        moved = (v.reshape(-1, size) @ hop).reshape(v.shape)
+        if len(begins[t]):
+            moved[begins[t]] = 1.0
+        moved *= near[t] if v.ndim == 2 else near[t][:, None]
+        return settle(moved, t)
 
     def back(v: np.ndarray, t: int) -> np.ndarray:
-        """Backward message from position t of each lane to the one before; a chain's start cuts it."""
-        moved = (v * (near[:, t] if v.ndim == 2 else near[:, t, None])) @ hop.T
-        f = first[:, t]
-        if f.any():
-            moved[f] = 1.0
-        return moved / moved.sum(axis=tuple(range(1, v.ndim)), keepdims=True)
+        """Backward messages from position t of each lane to the one before; a chain's start cuts them."""
+        moved = ((v * (near[t] if v.ndim == 2 else near[t][:, None])).reshape(-1, size) @ turned).reshape(v.shape)
+        if len(begins[t]):
+            moved[begins[t]] = 1.0
+        return settle(moved, t)
 
     eye = np.broadcast_to(np.eye(size), (lanes, size, size))
     product, back_product = eye, eye
@@ -118,14 +144,17 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.nda
     beta = np.empty_like(near) if pairs else None
     v = enter
     for t in range(width):
-        v = alpha[:, t] = step(v, t)
+        v = alpha[t] = step(v, t)
     v = leave
     for t in range(width - 1, -1, -1):
         if pairs:
-            beta[:, t] = v
+            beta[t] = v
         else:
-            alpha[:, t] *= v
+            alpha[t] *= v
         v = back(v, t)
+    alpha = alpha.transpose(1, 0, 2)
+    if pairs:
+        near, beta = near.transpose(1, 0, 2), beta.transpose(1, 0, 2)
     flat = alpha.reshape(-1, size)[:total]
     if not pairs:
         return flat / flat.sum(1, keepdims=True)
@@ -148,35 +177,34 @@ def train(texts: list[bytes], langs: list[str], *, slots: int = 1 << 16, rounds:
         pieces += [(number[lang], words[i : i + stretch]) for i in range(0, len(words), stretch)]
     order = np.random.default_rng(seed).permutation(len(pieces))
     ids: dict[bytes, int] = {}
-    found: list[list[int]] = []
     word, gold, start = [], [], []
     for turn, i in enumerate(order):
         y, words = pieces[i]
         begin = turn % 8 == 0  # eight stretches make a sequence
         for w in words:
-            n = ids.get(w)
-            if n is None:
-                n = ids[w] = len(found)
-                found.append(features(w, slots))
-            if found[n]:
-                word.append(n), gold.append(y), start.append(begin)
-                begin = False
+            word.append(ids.setdefault(w, len(ids)))
+            gold.append(y), start.append(begin)
+            begin = False
+    owner, slot = features(list(ids), slots)
+    has = np.zeros(len(ids), bool)
+    has[owner] = True
+    word, gold, start = np.array(word, np.int64), np.array(gold, np.int64), np.array(start, bool)
+    # a sequence whose first words have no letters begins at the first that has
+    chain = np.cumsum(start)
+    word, gold, chain = (x[has[word]] for x in (word, gold, chain))
+    start = np.r_[True, chain[1:] != chain[:-1]][: len(word)]
     weights, hops = np.zeros((slots, size)), np.zeros((size, size))
-    if not word or size < 2:
+    if not len(word) or size < 2:
         return Crf(labels, weights, hops)
-    word, gold, start = np.array(word), np.array(gold), np.array(start)
-    start[0] = True
-    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    slot = np.concatenate([np.array(x, np.int64) for x in found if x])
-    truth = np.stack([np.bincount(word[gold == y], minlength=len(found)) for y in range(size)], 1).astype(float)
+    truth = np.stack([np.bincount(word[gold == y], minlength=len(ids)) for y in range(size)], 1).astype(float)
     inner = ~start[1:]
     pairs = np.bincount(gold[:-1][inner] * size + gold[1:][inner], minlength=size * size).reshape(size, size).astype(float)
     sq_w, sq_h = np.full_like(weights, 1e-8), np.full_like(hops, 1e-8)
     for _ in range(rounds):
-        emit = np.stack([np.bincount(owner, weights[slot, y], minlength=len(found)) for y in range(size)], 1)
+        emit = np.stack([np.bincount(owner, weights[slot, y], minlength=len(ids)) for y in range(size)], 1)
         scores = emit[word]
         p, joint = forward_backward(scores, start, hops, pairs=True)
-        expected = np.stack([np.bincount(word, p[:, y], minlength=len(found)) for y in range(size)], 1)
+        expected = np.stack([np.bincount(word, p[:, y], minlength=len(ids)) for y in range(size)], 1)
         g = (truth - expected)[owner]
         grad = np.stack([np.bincount(slot, g[:, y], minlength=slots) for y in range(size)], 1) / len(word) - decay * weights
         grad_h = (pairs - joint) / len(word) - decay * hops
@@ -215,25 +243,28 @@ class _Emissions(dict):
     """word -> row in a table of emissions, -1 without letters; remembers a bounded number of words."""
 
     def __init__(self, model: Crf, most: int = 150_000):
-        self.model, self.most, self.table, self.used = model, most, np.zeros((1 << 14, len(model.labels)), np.float32), 0
+        self.model, self.most = model, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.table, self.real = np.zeros((0, len(self.model.labels)), np.float32), np.zeros(0, bool)
 
     def __missing__(self, word: bytes) -> int:
-        e = self.model.emission(_lower(word))
-        if e is None:
-            n = -1
-        else:
-            if self.used == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            n, self.table[self.used] = self.used, e
-            self.used += 1
-        self[word] = n
+        n = self[word] = len(self)
+        self.new.append(word)
         return n
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         if len(self) > self.most:
-            self.clear()
-            self.used = 0
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.reset()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            scores, real = self.model.emissions(self.new)
+            self.table, self.real, self.new = np.vstack([self.table, scores]), np.r_[self.real, real], []
+        rows[~self.real[rows]] = -1
+        return rows
 
 
 def label_words(model: Crf, texts: list[bytes], cache: _Emissions | None = None) -> tuple[np.ndarray, np.ndarray]:
