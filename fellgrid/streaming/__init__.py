@@ -1 +1 @@
-
+"""Structured Streaming forms of what arrives month by month."""
