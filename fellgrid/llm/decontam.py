@@ -83,7 +83,7 @@ class Template(dict):
 
 
 def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each window of ``size`` template words inside one text, two literal ones at least."""
+    """(start, hash) of each window of ``size`` template words inside one text, two literal ones at least (one of two)."""
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -91,7 +91,7 @@ def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) ->
     for i in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : n + i]
         literal += ~slot[i : n + i]
-    good = (doc[:n] == doc[size - 1 :]) & (literal >= min(2, size))
+    good = (doc[:n] == doc[size - 1 :]) & (literal >= min(2, max(1, size - 1)))
     return np.flatnonzero(good), mix(h[good] + np.uint64(size))
 
 
