@@ -740,3 +740,39 @@ def streaming_daily_counts(s, d):
     from ..streaming.runs import daily_counts_stream
 
     return daily_counts_stream(s, f"{d}/events.parquet")
+
+
+# ---- polygons: the boxes as WKB ----
+
+
+def box_polygons(s, d):
+    from ..functions import polygons as g
+    from ..operators import geometry
+
+    def run(frames):
+        for f in frames:
+            yield f[["box"]].assign(geom=[g.write_wkb(g.box(*r)) for r in zip(f["minx"], f["miny"], f["maxx"], f["maxy"])])
+
+    return geometry.admit(boxes(s, d).mapInPandas(run, "box long, geom binary"))
+
+
+@query(f"WITH {AREA} SELECT box, cx, cy, round(area, 9) AS area FROM a WHERE area > CAST(1e-12 AS DOUBLE)")
+def polygon_cell_areas(s, d):
+    from ..operators import geometry
+
+    return geometry.cut_by_cells(box_polygons(s, d), 0.5).filter("area > 1e-12").select("box", "cx", "cy", F.round("area", 9).alias("area"))
+
+
+@query()
+def polygon_union_areas(s, d):
+    from ..operators import geometry
+
+    return geometry.union_by_cell(geometry.cut_by_cells(box_polygons(s, d), 0.5), 0.5).select("cx", "cy", "fragments", F.round("area", 9).alias("area"))
+
+
+@query(f"WITH {XY}, {BOXES} SELECT vec_id AS point_id, box AS area_id FROM xy JOIN b ON x > minx AND x < maxx AND y > miny AND y < maxy")
+def points_in_polygons(s, d):
+    from ..operators import geometry
+
+    p = vectors_xy(s, d).withColumnRenamed("vec_id", "point_id")
+    return geometry.points_in_polygons(p, box_polygons(s, d).withColumnRenamed("box", "area_id"), 0.5)
