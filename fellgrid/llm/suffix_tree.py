@@ -183,7 +183,7 @@ def grow(codes: np.ndarray, counts: np.ndarray, depth: int, *, least: float, few
 
 
 def score_texts(
-    docs: DataFrame, train: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = 6, least: float = 2e-6, fewest: int = 4, gain: float = 4.0, ratio: float = 1.2, head: int = 1 << 16
+    docs: DataFrame, train: DataFrame, *, key: str = "doc_id", text: str = "text", depth: int = 5, least: float = 3e-6, fewest: int = 4, gain: float = 4.0, ratio: float = 1.2, head: int = 1 << 16
 ) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -197,8 +197,8 @@ def score_texts(
     counts = cut(count_corpus(train, text=text, depth=depth), "counts")
     words = counts.filter("kind = 1")
     n_tokens, n_types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(head).select("key", "n").collect()
-    frequent = {r["key"]: r["n"] for r in top}
+    top = words.orderBy(F.desc("n"), "key").limit(head).select("key", "n").toArrow()
+    frequent = dict(zip(top["key"].to_pylist(), top["n"].to_pylist()))
     total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # only grams whose context can be a candidate: at most 1 / least contexts of each length, the rarest grams folded per suffix
     grams = counts.filter("kind = 0")
@@ -216,8 +216,8 @@ def score_texts(
     table = pieces[0]
     for p in pieces[1:]:
         table = table.unionByName(p)
-    got = table.toPandas()
-    tree = grow(got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64), depth, least=least, fewest=fewest, gain=gain, ratio=ratio)
+    got = table.toArrow()  # contexts times symbols: bounded like the contexts
+    tree = grow(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(), depth, least=least, fewest=fewest, gain=gain, ratio=ratio)
     shared = spark.sparkContext.broadcast((tree.alphabet, tree.step, tree.row, tree.logs, np.array(sorted(frequent), np.int64), np.array([frequent[k] for k in sorted(frequent)], np.int64)))
     whole = float(n_tokens + n_types + 1)
 
@@ -246,7 +246,7 @@ def score_texts(
             offsets = np.searchsorted(d, np.arange(size + 1))
             rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(k))
             tokens = np.array([len(s) + 1 for s in split], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(score), rare], ["id", "n_tokens", "known", "logs", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(known), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), rare], ["id", "n_tokens", "known", "logs", "score", "rare"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     scored = rows.mapInArrow(run, "id long, n_tokens long, known long, logs double, score double, rare array<long>")
