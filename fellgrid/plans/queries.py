@@ -776,3 +776,61 @@ def points_in_polygons(s, d):
 
     p = vectors_xy(s, d).withColumnRenamed("vec_id", "point_id")
     return geometry.points_in_polygons(p, box_polygons(s, d).withColumnRenamed("box", "area_id"), 0.5)
+
+
+# ---- lookups and payloads ----
+
+
+@query(f'WITH {XY}{CELLS}, {PART_RASTER}, k AS (SELECT vec_id, r % 40 AS r, c % 50 AS c FROM g) SELECT vec_id, l0.e AS encoded, CAST(l0.e AS DOUBLE) * CAST(0.5 AS DOUBLE) AS value FROM k JOIN l0 ON k.r = l0.r AND k.c = l0.c')
+def cell_lookup(s, d):
+    """The value of the cell that a point lies in, always at the finest level."""
+    p = vectors_xy(s, d).select("vec_id", (geo.cell_row(F.col("y"), GRID) % 40).alias("row"), (geo.cell_column(F.col("x"), GRID) % 50).alias("col"))
+    return p.join(part_raster(s, d), ["row", "col"]).select("vec_id", "encoded", encode.dequantise(F.col("encoded"), 0.5, 0.0).alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('days_tmax_gt_25', 'heat_days_tmax_gt_25'), ('summer_tmax_p99', 'heat_summer_tmax_p99'), ('other', 'other')) t(old, metric_id)")
+def legacy_metric_ids(s, d):
+    old = s.sql("SELECT * FROM VALUES ('days_tmax_gt_25'), ('summer_tmax_p99'), ('other') AS t(old)")
+    return old.select("old", F.coalesce(F.element_at(text.literal_map(text.LEGACY_METRICS), F.col("old")), F.col("old")).alias("metric_id"))
+
+
+@query("SELECT c_mktsegment AS category, string_agg(c_name, ',' ORDER BY lower(c_name), CAST(c_custkey AS VARCHAR)) AS names FROM customer WHERE c_custkey <= 60 GROUP BY c_mktsegment")
+def area_payload(s, d):
+    from ..sources.sinks import area_payload as payload
+
+    c = read(s, d, "customer").filter("c_custkey <= 60")
+    areas = c.select(F.col("c_mktsegment").alias("category"), F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("ref"), F.lit("").alias("geometry"))
+    return payload(areas).select("category", F.concat_ws(",", F.transform("areas", lambda a: a["name"])).alias("names"))
+
+
+@query(f"WITH {PLACES}, c AS (SELECT * FROM (VALUES ('supermarket', 0), ('convenience', 1), ('post_office', 2), ('pharmacy', 3), ('gp', 4), ('dentist', 5), ('hospital_general', 6), ('hospital_community', 7)) t(category, place)) SELECT c.category, CAST(c.place AS INTEGER) AS place, count(pl.category) AS n FROM c LEFT JOIN pl USING (category) GROUP BY ALL")
+def service_counts(s, d):
+    from .services import counts
+
+    return counts(places(s, d)).select("category", "place", F.col("n").cast("long").alias("n"))
+
+
+@query()
+def service_payload(s, d):
+    from ..sources.sinks import service_payload as payload
+
+    return payload(places(s, d))
+
+
+@query(f"WITH {PART_RASTER} SELECT 'm' AS metric, CAST(50 * 50 * 2 AS BIGINT) AS raw_bytes")
+def metric_blobs(s, d):
+    from ..sources.sinks import pack
+
+    levels = part_raster(s, d).filter("row < 50").select(F.lit("m").alias("metric"), F.lit(0).alias("level"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("encoded").cast("int").alias("encoded"))
+    return pack(levels, [(0, 50, 50)]).select("metric", "raw_bytes")
+
+
+@query()
+def travel_minutes(s, d):
+    """Minutes from grid cells to a target over a network of parts and suppliers laid out in the plane."""
+    from .travel import travel_minutes as plan
+
+    e = edges(s, d).withColumn("edge_id", F.struct("u", "v"))
+    nodes = network.degrees(e).select(F.col("node").alias("node_id"), (F.col("node") % 97 * 500.0).alias("nx"), (F.col("node") % 89 * 500.0).alias("ny"))
+    cells = s.range(400).select(F.col("id").alias("point_id"), (F.col("id") % 20 * 2000.0 + 500).alias("x"), (F.floor(F.col("id") / 20) * 2000.0 + 500).alias("y"))
+    return plan(e.select("edge_id", "u", "v"), e.select("edge_id", "cost"), nodes, cells, (10000.0, 10000.0))
