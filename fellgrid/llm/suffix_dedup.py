@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     copies = found.select("id", "n", "digest").join(classes.filter("rows > 1").select("digest"), "digest").select("id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
     alone = found.join(classes.select("digest", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest"])
     rows = cut(alone.select("id", F.explode(F.arrays_zip("pos", "heads")).alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.heads").alias("head")), "rows")
-    often = rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head")
+    often = cut(rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head"), "often")  # a table, so that the join can split frequent heads
     suffixes = cut(_contexts(docs, rows.join(often, "head", "left_semi"), key=key, text=text, every=every, least=least), "contexts")
     spans = _neighbours(suffixes, "right", least).unionByName(_neighbours(suffixes, "left", least)).unionByName(copies)
     order = Window.partitionBy("id").orderBy("start", "stop")
