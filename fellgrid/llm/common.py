@@ -32,10 +32,19 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+def cut(df: DataFrame, name: str = "cut", rows: int = 2000) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    While it is written, batches sent to Python hold at most ``rows`` rows, as rows here can be long.
+    """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(most)
+    conf.set(most, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(most, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fellgrid_path = path
     return out
@@ -64,12 +73,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
 
 class WordHash(dict):
     """word -> 64-bit hash, remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -75,7 +75,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, size:
     return pair.join(wanted, "id", "left_semi").mapInArrow(run, "id long, n long, body binary")
 
 
-def _values(body: bytes) -> np.ndarray:
+def _values(body) -> np.ndarray:
     """Back to integers, in ascending order."""
     raw = np.frombuffer(body, np.uint8).reshape(-1, _BYTES)
     wide = np.zeros((len(raw), 8), np.uint8)
@@ -89,8 +89,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = _values(x), _values(y)
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = _values(a.as_buffer()), _values(b.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # df order: the prefix of each sketch, without the values that occur once
     values = classes.select("rep", "n", F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    often = cut(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")  # a table, so that the join can split frequent values
     common = values.join(often, "v")
     # overlap that similar sets' sketches have at least, five standard deviations below its mean; small sets whole
     p_long = k - math.floor(k * percent / 100 - 5 * math.sqrt(k * percent / 100 * (1 - percent / 100))) + 1
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     near = (F.least("n", "pivot.n") * 100 >= percent * F.greatest("n", "pivot.n")) & (F.col("own") + F.col("pivot.own") < 2 * p_long)
     star = star.filter(near).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
     small = classes.select(F.col("rep"), "sketch")
-    sketches = small.join(members, small["rep"] == members["id"], "left_semi")
+    sketches = cut(small.join(members, small["rep"] == members["id"], "left_semi"), "sketches")
     both = star.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     # union-sketch estimate: of the k smallest values of the union, the share that both have
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         placed = cut(placed.join(open_lists, "v"), "placed")
         parts = placed.groupBy("v", "component").agg(F.count("*").alias("held"))
         main = parts.groupBy("v").agg(F.max(F.struct("held", (-F.col("component")).alias("minus"))).alias("m")).select("v", (-F.col("m.minus")).alias("main"))
+        main = cut(main, "main")
         blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
         own_block = F.pmod(sign, blocks).cast("int")
         dealt = placed.join(main, "v").withColumn("out", F.col("component") != F.col("main"))
