@@ -148,9 +148,8 @@ def find_leaks(
     is fixed, whatever the benchmark's is; a fuller bitmap only sends more windows to the join, which decides.
     """
     items = cut(_template_rows(benchmark.dropDuplicates([item]), item, item_text, size, None, bits, None), "items")
-    low = [r[0] for r in items.select(F.col("h").bitwiseAND((1 << bits) - 1).alias("low")).distinct().collect()]  # at most 2**bits
+    slots = items.select(F.col("h").bitwiseAND((1 << bits) - 1).alias("low")).distinct().toArrow()["low"].to_numpy()  # at most 2**bits
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
-    slots = np.array(low, np.int64)
     np.bitwise_or.at(bitmap, slots >> 3, np.left_shift(np.uint8(1), (slots & 7).astype(np.uint8)))
     shorter = [r[0] for r in items.filter("total = 1").groupBy("id").agg(F.count("*")).limit(1).collect()]
     sizes = list(range(1, size + 1)) if shorter else [size]

@@ -242,7 +242,7 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
 class _Emissions(dict):
     """word -> row in a table of emissions, -1 without letters; remembers a bounded number of words."""
 
-    def __init__(self, model: Crf, most: int = 150_000):
+    def __init__(self, model: Crf, most: int = 100_000):
         self.model, self.most = model, most
         self.reset()
 
