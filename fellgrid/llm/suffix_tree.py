@@ -28,6 +28,7 @@ from .common import WordHash, byte_rows, cut, slices
 #: The end of a text as a symbol of its own; no word holds this byte.
 END = 10
 _END_WORD = 0x656E64  # hash that stands for the end among words
+_STATES = 4096  # states worked on at a time
 
 
 def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -54,7 +55,7 @@ def count_corpus(docs: DataFrame, *, text: str, depth: int) -> DataFrame:
     """(kind, key, n): counts of (depth + 1)-grams of symbols (kind 0) and of words (kind 1), added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash(150_000)
+        cache = WordHash()
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         words: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -136,7 +137,7 @@ def grow(codes: np.ndarray, counts: np.ndarray, depth: int, *, least: float, few
     first = np.bincount(symbol, counts, minlength=size)[None]
     root = (first + 0.5) / (first.sum() + 0.5 * size)
     keys, offset = [np.zeros(1, np.uint64)], [0]  # candidates of each length, sorted, and the state of the first
-    rows, row = [root], [np.zeros(1, np.int64)]  # distributions, and the one that each state uses
+    rows, row = [root.astype(np.float32)], [np.zeros(1, np.int64)]  # distributions, and the one that each state uses
     used = 1
     for d in range(1, depth + 1):
         ctx = (codes >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
@@ -147,38 +148,47 @@ def grow(codes: np.ndarray, counts: np.ndarray, depth: int, *, least: float, few
         place = np.full(len(names), -1)
         place[keep] = np.arange(len(keep))
         mine = place[where]
-        ok = mine >= 0
-        table = np.bincount(mine[ok] * size + symbol[inside][ok], counts[inside][ok], minlength=len(keep) * size).reshape(len(keep), size)
-        # each candidate's suffix is a candidate too; what that uses is the longest retained suffix's distribution
-        if d > 1:
-            suffix = np.searchsorted(keys[d - 1], names[keep] & np.uint64((1 << (8 * (d - 1))) - 1))
-            parent_row = row[d - 1][suffix]
-        else:
-            parent_row = np.zeros(len(keep), np.int64)
-        mixed = np.concatenate(rows)[parent_row]
-        n, kinds = table.sum(1), (table > 0).sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            spread = np.where(table > 0, table * np.log(table / n[:, None] / mixed), 0.0).sum(1)
-        # smoothed towards the suffix by the number of different symbols seen here
-        smooth = (table + kinds[:, None] * mixed) / (n + kinds)[:, None]
-        retained = (spread >= gain) | ((smooth / mixed).max(1) >= ratio)
-        row.append(np.where(retained, used + np.cumsum(retained) - 1, parent_row))
-        rows.append(smooth[retained])
-        used += int(retained.sum())
+        ok = np.flatnonzero(mine >= 0)
+        by = np.argsort(mine[ok], kind="stable")
+        state, sym, n_of = mine[ok][by], symbol[inside[ok]][by], counts[inside[ok]][by]
+        base, fresh, choice = np.concatenate(rows), [], np.zeros(len(keep), np.int64)
+        for lo in range(0, len(keep), _STATES):
+            hi = min(lo + _STATES, len(keep))
+            p, q = np.searchsorted(state, (lo, hi))
+            table = np.bincount((state[p:q] - lo) * size + sym[p:q], n_of[p:q], minlength=(hi - lo) * size).reshape(hi - lo, size)
+            # each candidate's suffix is a candidate too; what that uses is the longest retained suffix's distribution
+            if d > 1:
+                suffix = np.searchsorted(keys[d - 1], names[keep[lo:hi]] & np.uint64((1 << (8 * (d - 1))) - 1))
+                parent_row = row[d - 1][suffix]
+            else:
+                parent_row = np.zeros(hi - lo, np.int64)
+            mixed = base[parent_row]
+            n, kinds = table.sum(1), (table > 0).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                spread = np.where(table > 0, table * np.log(table / n[:, None] / mixed), 0.0).sum(1)
+            # smoothed towards the suffix by the number of different symbols seen here
+            smooth = (table + kinds[:, None] * mixed) / (n + kinds)[:, None]
+            retained = (spread >= gain) | ((smooth / mixed).max(1) >= ratio)
+            choice[lo:hi] = np.where(retained, used + np.cumsum(retained) - 1, parent_row)
+            fresh.append(smooth[retained].astype(np.float32))
+            used += int(retained.sum())
+        row.append(choice)
+        rows = [base, *fresh]
         offset.append(offset[-1] + len(keys[-1]))
         keys.append(names[keep])
     step = np.zeros((offset[-1] + len(keys[-1]), size), np.int32)
     for d in range(depth + 1):
         # from a state of length d by each symbol to the longest candidate among the suffixes of what was read
-        longer = keys[d][:, None] << np.uint64(8) | np.r_[0, seen].astype(np.uint64)[None]
-        to = np.zeros(longer.shape, np.int32)
-        for m in range(1, min(d + 1, depth) + 1):
-            if len(keys[m]):
-                want = longer & np.uint64((1 << (8 * m)) - 1)
-                at = np.minimum(np.searchsorted(keys[m], want), len(keys[m]) - 1)
-                to = np.where(keys[m][at] == want, offset[m] + at, to)
-        to[:, 0] = 0
-        step[offset[d] : offset[d] + len(keys[d])] = to
+        for lo in range(0, len(keys[d]), _STATES):
+            longer = keys[d][lo : lo + _STATES, None] << np.uint64(8) | np.r_[0, seen].astype(np.uint64)[None]
+            to = np.zeros(longer.shape, np.int32)
+            for m in range(1, min(d + 1, depth) + 1):
+                if len(keys[m]):
+                    want = longer & np.uint64((1 << (8 * m)) - 1)
+                    at = np.minimum(np.searchsorted(keys[m], want), len(keys[m]) - 1)
+                    to = np.where(keys[m][at] == want, offset[m] + at, to)
+            to[:, 0] = 0
+            step[offset[d] + lo : offset[d] + lo + len(to)] = to
     return SuffixTree(alphabet, step, np.concatenate(row), np.log10(np.concatenate(rows)).astype(np.float32), depth)
 
 
@@ -224,7 +234,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *parts, keys, ns = shared.value
         own = SuffixTree(*parts, depth)
-        cache = WordHash(150_000)
+        cache = WordHash()
         for batch in slices(batches, "text", 1 << 20):
             symbols, lengths, split = _stream(byte_rows(batch.column(1)))
             size = len(split)
