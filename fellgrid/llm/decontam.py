@@ -1,8 +1,10 @@
 """Benchmark decontamination by canonical templates.
 
 A text becomes a sequence of template words: numbers turn into ``<num>``, a unit after a number into
-``<unit>``, a capitalised word inside a sentence into ``<name>``; the others are lower-cased and lose the
-punctuation around them.  Windows of template words are hash-joined with those of the benchmark items, so a
+``<unit>``, a capitalised word into ``<name>``; the others are lower-cased and lose the punctuation around
+them.  A capitalised word that begins a sentence or a line may be a name or not: windows are made with
+both readings, in texts and items, so that a passage meets its copy whatever stands before it.  An item's first word is also
+read as a unit if it can be one.  Question words, articles and the like are no names anywhere.  Windows of template words are hash-joined with those of the benchmark items, so a
 question with other numbers or names still meets its item.  Along one alignment the slots must agree: equal
 values of the item must stand for equal values in the document, else it isn't the same question re-parameterised.
 """
@@ -23,12 +25,21 @@ from .common import byte_rows, cut, mix, slices
 #: Spelled-out numbers and units, in the forms that texts use.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours minutes seconds days weeks months years km/h mph % percent usd eur dollars euros cents c f k w kw v a hz mb gb tb meters metres kilometers kilometres grams kilograms litres liters miles feet inches degrees points people".split()
+#: Words that are capitalised at the beginning of a sentence but are no names.
+STARTERS = (
+    "what which who whom whose when where why how if the an this that these those there it he she they we you in on at of for from by to with and or but so then is are was were do does did can could will would should has have had let find "
+    "was welche welcher welches wer wem wen wann wo warum wie wenn der die das ein eine einer es er sie wir ihr in im auf am an von aus bei mit und oder aber so dann ist sind war waren hat haben kann wird "
+    "que quel quelle quels quelles qui quand où pourquoi comment combien si le la les un une des il elle ils elles nous vous dans en sur de du au aux par pour avec et ou mais alors est sont était a ont "
+    "qué cuál cuáles quién cuándo dónde cómo cuánto cuántos cuántas el los las una unos unas ella ellos es son era fue ha han del al con por para y o pero"
+).split()
 
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?")
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-z%/]+)")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN, _NUM, _NAME = 0, 1, 2
-_UNITS, _NUMBER_WORDS = set(UNITS), set(NUMBER_WORDS)
+_UNITS, _NUMBER_WORDS, _STARTERS = set(UNITS), set(NUMBER_WORDS), set(STARTERS)
+_LINE = b" \x1e "  # stands for a line break: a word of punctuation alone that ends a sentence
 
 
 class Template(dict):
@@ -50,49 +61,75 @@ class Template(dict):
         glued = _GLUED.fullmatch(low)
         if low in _NUMBER_WORDS or _NUMBER.fullmatch(bare) or (glued and glued[2] in _UNITS):
             kind = _NUM
-        elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+        elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and low not in _STARTERS:
             kind = _NAME
         if self.used == len(self.hash):
             self.hash, self.kind, self.unit, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.unit, self.stop))
         n = self.used
         # a word of punctuation alone is no template word: hash 0
         self.hash[n] = xxhash.xxh3_64_intdigest(low.encode()) | 1 if low else 0
-        self.kind[n], self.unit[n], self.stop[n] = kind, low in _UNITS, word[-1:] in ".!?:"
+        self.kind[n], self.unit[n], self.stop[n] = kind, low in _UNITS, word[-1:] in ".!?:\x1e"
         self.value.append(low)
         self.used += 1
         self[raw] = n
         return n
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, entry, hash, is a slot) for each template word of the texts."""
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, entry, hash, is a slot, may be literal, may be a unit) for each template word of the texts.
+
+        A name that begins a sentence or a line may be literal instead; a text's first word may be a unit.
+        """
         if len(self) > self.most:
             self.reset()
-        split = [t.split() for t in texts]
+        split = [t.replace(b"\r", b"\n").replace(b"\n", _LINE).split() for t in texts]
         doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
         entry = np.fromiter((self[w] for words in split for w in words), np.int64, len(doc))
         stop = self.stop[entry]
         begins = np.r_[True, stop[:-1] | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
         real = self.hash[entry] != 0
-        doc, entry, begins = doc[real], entry[real], begins[real]
+        # a word of punctuation alone doesn't take the beginning from the word after it
+        behind = np.flatnonzero(real)
+        runs = np.maximum.reduceat(begins, np.r_[0, behind[:-1] + 1]) if len(behind) else begins[:0]
+        doc, entry, begins = doc[real], entry[real], runs
         kind, code = self.kind[entry], self.hash[entry].copy()
-        num, name = kind == _NUM, (kind == _NAME) & ~begins
-        after = np.r_[False, num[:-1] & (doc[1:] == doc[:-1])] if len(doc) else num
+        num, name = kind == _NUM, kind == _NAME
+        inner = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else num
+        after = inner & np.r_[False, num[:-1]] if len(doc) else num
         unit = after & self.unit[entry] & ~num
         code[num], code[name], code[unit] = 3, 5, 7
-        return doc, entry, code, num | name | unit
+        return doc, entry, code, num | name | unit, name & begins & ~unit, ~inner & self.unit[entry] & ~num
+
 
+def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int, other: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, bits of the slots) of each window of ``size`` template words inside one text, in each reading, two literal ones at least (one of two).
 
-def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each window of ``size`` template words inside one text, two literal ones at least (one of two)."""
+    ``other``: further readings as (words that have it, code of each word in it, whether it makes them slots).
+    """
     n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, literal = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, slots = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for i in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : n + i]
-        literal += ~slot[i : n + i]
-    good = (doc[:n] == doc[size - 1 :]) & (literal >= min(2, max(1, size - 1)))
-    return np.flatnonzero(good), mix(h[good] + np.uint64(size))
+        h = h * _STEP + code[i : n + i]
+        slots |= slot[i : n + i].astype(np.int64) << i
+    inside = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    start, h, slots = inside, h[inside], slots[inside]
+    for has, new, becomes in other:
+        at, weight = np.flatnonzero(has), np.uint64(1)
+        mark = np.zeros(len(code) + 1, bool)
+        mark[at] = True
+        for i in range(size - 1, -1, -1):
+            turned = np.flatnonzero(mark[start + i] & ((slots >> i & 1) == slot[start + i]))
+            if len(turned):
+                word = start[turned] + i
+                changed = h[turned] + (new[word] - code[word]) * weight
+                bit = np.int64(1 << i)
+                start, h = np.r_[start, start[turned]], np.r_[h, changed]
+                slots = np.r_[slots, slots[turned] | bit if becomes else slots[turned] & ~bit]
+            weight = weight * _STEP
+    literal = size - np.bitwise_count(slots).astype(np.int64)
+    good = literal >= min(2, max(1, size - 1))
+    return start[good], mix(h[good] + np.uint64(size)), slots[good]
 
 
 def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list[int] | None, bits: int, wanted: np.ndarray | None) -> DataFrame:
@@ -108,12 +145,13 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
         bitmap = held.value if held is not None else None
         for batch in slices(batches, "text", 2 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, entry, code, slot = made.of(byte_rows(batch.column(1)))
+            doc, entry, code, slot, literal, unit = made.of(byte_rows(batch.column(1)))
+            other = [(literal, made.hash[entry], False)] + ([(unit, np.full(len(code), 7, np.uint64), True)] if sizes is None else [])
             first = np.searchsorted(doc, np.arange(len(ids) + 1))
             length = np.diff(first)
             out: list[tuple] = []
             for n in sizes or range(1, size + 1):
-                start, h = _windows(doc, code, slot, n)
+                start, h, slots_of = _windows(doc, code, slot, n, other)
                 if sizes is None:
                     here = np.flatnonzero(length[doc[start]] == n if n < size else length[doc[start]] >= n)
                 else:
@@ -122,7 +160,7 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
                 for i in here:
                     s = start[i]
                     d = doc[s]
-                    values = [made.value[entry[j]] for j in range(s, s + n) if slot[j]]
+                    values = [made.value[entry[s + j]] for j in range(n) if slots_of[i] >> j & 1]
                     total = max(1, int(length[d]) - size + 1)
                     out.append((int(ids[d]), total, int(s - first[d]), int(h[i].view(np.int64)), values))
             if out:

@@ -100,6 +100,17 @@ def test_decontamination_short_items(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, b).collect()] == [(1, 13)]
 
 
+def test_decontamination_whatever_stands_before(spark):
+    tom = "Tom has 3 red pens. Tom gives 2 pens to a friend. How many pens remain?"
+    france, wide = "What is the capital of France?", "Anna likes wide green boats very much"
+    docs = [(1, "Quiz question\n" + france), (2, "Quiz question " + france + " Answer it"), (3, "a quiz, " + france.lower().replace("france", "France")), (4, tom.replace("Tom", "Max").replace("3", "5"))]
+    docs += [(5, "see heading\n" + tom), (6, "we say " + wide), (7, "in 3 People walk to the large town"), (8, "Tom has 3 red pens. Max gives 2 pens to a friend. How many pens remain?"), (9, "see - " + wide.replace("Anna", "Bella"))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(10, france), (11, tom), (12, wide), (13, "People walk to the large town")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.find_leaks(d, b).collect()}
+    assert got == {(1, 10): True, (2, 10): True, (3, 10): True, (4, 11): False, (5, 11): True, (6, 12): True, (7, 13): True, (9, 12): False}
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.example.net", "/", "block"), ("net", "/", "block")]
 URLS = [
     None, "", "no scheme", "http://net", "http://net/", "HTTP://X.Example.NET/en/1?q=/de/#x", "https://example.net/de/", "https://a.example.net/en/2", "https://b.a.example.net/", "https://notexample.net/en/",
