@@ -7,6 +7,9 @@ both readings, in texts and items, so that a passage meets its copy whatever sta
 read as a unit if it can be one.  Question words, articles and the like are no names anywhere.  Windows of template words are hash-joined with those of the benchmark items, so a
 question with other numbers or names still meets its item.  Along one alignment the slots must agree: equal
 values of the item must stand for equal values in the document, else it isn't the same question re-parameterised.
+
+Windows with fewer than two literal words in every reading say too little as templates.  They meet by their words as they
+are, slot values included, so that lists of numbers, dates or names are found as copies.
 """
 
 from __future__ import annotations
@@ -100,14 +103,16 @@ class Template(dict):
         return doc, entry, code, num | name | unit, name & begins & ~unit, ~inner & self.unit[entry] & ~num
 
 
-def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int, other: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, bits of the slots) of each window of ``size`` template words inside one text, in each reading, two literal ones at least (one of two).
+def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int, other: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, bits of the slots, is by value) of each window of ``size`` template words inside one text, in each reading.
+
+    A reading needs two literal words at least (one of two).  All windows without them in some reading are also hashed by value.
 
-    ``other``: further readings as (words that have it, code of each word in it, whether it makes them slots).
+    value[word]: hash of the word as it is.  ``other``: further readings as (words that have it, code of each word in it, whether it makes them slots).
     """
     n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     h, slots = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for i in range(size):
         h = h * _STEP + code[i : n + i]
@@ -129,11 +134,20 @@ def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, size: int, oth
             weight = weight * _STEP
     literal = size - np.bitwise_count(slots).astype(np.int64)
     good = literal >= min(2, max(1, size - 1))
-    return start[good], mix(h[good] + np.uint64(size)), slots[good]
+    # what one side's reading lets be a template can be dense on the other: by value wherever the first reading or another is too dense
+    dense = np.unique(start[~good])
+    exact, bits = np.zeros(len(dense), np.uint64), np.zeros(len(dense), np.int64)
+    for i in range(size):
+        exact = exact * _STEP + value[dense + i]
+        bits |= slot[dense + i].astype(np.int64) << i
+    hashes = np.r_[mix(h[good] + np.uint64(size)), mix(exact + np.uint64(size + 64))]
+    return np.r_[start[good], dense], hashes, np.r_[slots[good], bits], np.r_[np.zeros(good.sum(), bool), np.ones(len(dense), bool)]
 
 
 def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list[int] | None, bits: int, wanted: np.ndarray | None) -> DataFrame:
-    """(id, total, pos, h, slots): the template windows of each text.
+    """(id, total, usable, pos, exact, h, slots): the template windows of each text.
+
+    exact: by value.  usable: how many of the text's ``total`` windows make templates.
 
     ``sizes`` None: a benchmark; texts of fewer words than ``size`` are one window.  ``wanted``: keep only
     windows whose hash is set in this bitmap.
@@ -150,10 +164,12 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
             first = np.searchsorted(doc, np.arange(len(ids) + 1))
             length = np.diff(first)
             out: list[tuple] = []
+            usable = np.zeros(len(ids), np.int64)
             for n in sizes or range(1, size + 1):
-                start, h, slots_of = _windows(doc, code, slot, n, other)
+                start, h, slots_of, exact = _windows(doc, code, slot, made.hash[entry], n, other)
                 if sizes is None:
                     here = np.flatnonzero(length[doc[start]] == n if n < size else length[doc[start]] >= n)
+                    usable += np.bincount(doc[np.unique(start[here][~exact[here]])], minlength=len(ids))
                 else:
                     low = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
                     here = np.flatnonzero((bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
@@ -162,14 +178,14 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
                     d = doc[s]
                     values = [made.value[entry[s + j]] for j in range(n) if slots_of[i] >> j & 1]
                     total = max(1, int(length[d]) - size + 1)
-                    out.append((int(ids[d]), total, int(s - first[d]), int(h[i].view(np.int64)), values))
+                    out.append((int(ids[d]), total, int(usable[d]), int(s - first[d]), bool(exact[i]), int(h[i].view(np.int64)), values))
             if out:
                 cols = list(zip(*out))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "total", "pos", "h", "slots"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "total", "usable", "pos", "exact", "h", "slots"])
 
     pair = table.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return pair.mapInArrow(run, "id long, total long, pos long, h long, slots array<string>")
+    return pair.mapInArrow(run, "id long, total long, usable long, pos long, exact boolean, h long, slots array<string>")
 
 
 def find_leaks(
@@ -178,9 +194,10 @@ def find_leaks(
     """(key, item, coverage, exact) for each document that holds a benchmark item or a re-parameterised one.
 
     coverage is the share of the item's windows (``size`` template words; shorter items: the whole item) that
-    the document has in consistent alignments, ``similarity`` or more; exact says that all slots hold the item's own
-    values.  Texts that are null, empty or without template words match nothing, nor do windows of placeholders
-    alone; repeated rows count once; empty tables give an empty result; other columns are ignored.
+    the document has in consistent alignments, ``similarity`` or more.  Where more than half of an item's windows make templates,
+    the share of these counts if it is larger; all windows can also be met by value.  exact says that all slots that were met, and all
+    windows that make no templates, hold the item's own values.  Texts that are null, empty or without template words match nothing;
+    repeated rows count once; empty tables give an empty result; other columns are ignored.
 
     Windows of documents are first looked up in a bitmap of 2**``bits`` bits made from the benchmark: its size
     is fixed, whatever the benchmark's is; a fuller bitmap only sends more windows to the join, which decides.
@@ -192,13 +209,17 @@ def find_leaks(
     shorter = [r[0] for r in items.filter("total = 1").groupBy("id").agg(F.count("*")).limit(1).collect()]
     sizes = list(range(1, size + 1)) if shorter else [size]
     hits = _template_rows(docs, key, text, size, sizes, bits, bitmap)
-    theirs = items.select("h", F.col("id").alias("item"), "total", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
+    theirs = items.select("h", F.col("id").alias("item"), "total", "usable", F.col("pos").alias("ipos"), F.col("exact").alias("by_value"), F.col("slots").alias("islots"))
     met = hits.select("id", "pos", "h", "slots").join(theirs, "h")
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "slots"))))
-    aligned = met.groupBy("id", "item", "total", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("covered"), pairs.alias("pairs"))
+    templates = F.collect_set(F.when(~F.col("by_value"), F.col("ipos")))
+    aligned = met.groupBy("id", "item", "total", "usable", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("covered"), templates.alias("templates"), pairs.alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda x: x["islots"]))
     same = ~F.exists("pairs", lambda x: ~x["islots"].eqNullSafe(x["slots"]))
     sound = aligned.filter(F.size(values) == F.size("pairs")).withColumn("same", same)
-    whole = sound.groupBy("id", "item", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.min("same").alias("exact"))
-    out = whole.withColumn("coverage", F.col("n") / F.col("total")).filter(F.col("coverage") >= similarity)
+    met_by = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = sound.groupBy("id", "item", "total", "usable").agg(met_by("covered").alias("n"), met_by("templates").alias("m"), F.min("same").alias("same"))
+    share = F.when(2 * F.col("usable") > F.col("total"), F.col("m") / F.col("usable")).otherwise(0.0)
+    whole = whole.withColumn("exact", F.col("same") & (F.col("n") - F.col("m") >= F.col("total") - F.col("usable")))
+    out = whole.withColumn("coverage", F.greatest(F.col("n") / F.col("total"), share)).filter(F.col("coverage") >= similarity)
     return out.select(F.col("id").alias(key), F.col("item").alias(item), "coverage", "exact")

@@ -111,6 +111,15 @@ def test_decontamination_whatever_stands_before(spark):
     assert got == {(1, 10): True, (2, 10): True, (3, 10): True, (4, 11): False, (5, 11): True, (6, 12): True, (7, 13): True, (9, 12): False}
 
 
+def test_decontamination_dense_items(spark):
+    sums, dates, dense = "What is 15 + 27 - 8 × 3?", "1914 1918 1939 1945 1989 2001 2020", "Of 3 boxes with 12 pens 7 are red, 9 7 5 3 8"
+    docs = [(1, "see " + sums + " now"), (2, "see " + sums.replace("27", "28")), (3, "years " + dates + " end"), (4, "years " + dates.replace("1945", "1946")), (5, dense), (6, dense.replace("12", "40")), (7, "12 of 3 and Bern"), (8, "we saw Bern, Rome, Paris, Oslo, Wien, Riga and more")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(10, sums), (11, dates), (12, dense), (13, "Bern, Rome, Paris, Oslo, Wien, Riga")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.find_leaks(d, b).collect()}
+    assert got == {(1, 10): True, (3, 11): True, (5, 12): True, (6, 12): False, (8, 13): True}
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.example.net", "/", "block"), ("net", "/", "block")]
 URLS = [
     None, "", "no scheme", "http://net", "http://net/", "HTTP://X.Example.NET/en/1?q=/de/#x", "https://example.net/de/", "https://a.example.net/en/2", "https://b.a.example.net/", "https://notexample.net/en/",
