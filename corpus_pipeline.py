@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last adds
 ``copy``.  Stages read all that the stage before kept.  Null and empty texts leave at the first stage, as
-they have no language; an empty table gives an empty result; extra columns travel along.
+they have no language; an empty table gives an empty result; extra columns travel along.  A null or repeated
+doc_id makes no difference to what a stage sees of a row: rows stand for themselves.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from fellgrid.llm.common import cut
 #: A text whose words lean to no language more than this is no text of any of them.
 LEAST_LANGUAGE_SCORE = 0.34
 
+_ROW = "_fellgrid_row"
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts of a known language: those with letters whose best language has a clear share."""
@@ -26,15 +29,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id; rows without a doc_id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each group of near-duplicates: the one with the smallest doc_id (none comes last), then the first.
+
+    Different texts with the same doc_id both stay.
+    """
+    rows = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows.select(_ROW, "text"), key=_ROW).select(_ROW, "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW)
+    kept = groups.join(rows.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(F.min(order).alias("least")).select(F.col(f"least.{_ROW}").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item, as it is or re-parameterised."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Keeps documents that hold no benchmark item, as it is or re-parameterised; rows are known by a 64-bit hash of the text."""
+    rows = docs.withColumn(_ROW, F.xxhash64(F.col("text").cast("string")))
+    leaks = decontam.find_leaks(rows.select(_ROW, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=_ROW)
+    return rows.join(leaks.select(_ROW).distinct(), _ROW, "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,14 +216,14 @@ def train(texts: list[bytes], langs: list[str], *, slots: int = 1 << 16, rounds:
 
 
 def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most_docs: int = 1200, most_bytes: int = 2 << 20, **options) -> Crf:
-    """Fit on at most ``most_docs`` labelled rows and ``most_bytes`` of text, the first by a hash of the key.
+    """Fit on at most ``most_docs`` labelled rows and ``most_bytes`` of text, the first by a hash of the key (without one: of the text).
 
     This bounded sample is the one place where not all rows are read; prediction covers every row.  Rows with
     a null text or language are not labelled.  The sample is drawn within each language, so that rare ones are in it.
     """
     from pyspark.sql.window import Window
 
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(key).alias("h"))
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)).alias("h"))
     # the smallest hashes of each language, by map-side combined aggregation on hashes alone
     counts = rows.groupBy("lang").count().collect()
     if not counts:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Token totals per source give each source a target, the target gives a repetition rate, and a document is
-taken ``floor(rate)`` times plus once more if a hash of its id, read as a number in [0, 1), lies under the
+taken ``floor(rate)`` times plus once more if a hash of its id (without one: of its text), read as a number in [0, 1), lies under the
 fraction of the rate.  Targets share ``share`` of all tokens in proportion to the weights; none goes above
 ``cap`` times its source's tokens, and what a capped source leaves is shared again among the others.
 """
@@ -60,7 +60,7 @@ def mix_sources(
     """The rows of ``docs`` plus size, source_size, target and copies (how often the mix takes the row).
 
     A null or empty text has size 0; null is a source like any other and comes last.  Repeated rows with the
-    same key are decided alike.  A source without words gets target 0 and its rows 0 copies.  An empty table
+    same key are decided alike, those without a key by their texts.  A source without words gets target 0 and its rows 0 copies.  An empty table
     gives an empty result.  Columns of the input that have one of the four new names are replaced.
     """
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col(text)))
@@ -69,4 +69,7 @@ def mix_sources(
     goals = goals.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_mix"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    return sized.withColumn("_mix", name).join(goals, "_mix").drop("_mix").withColumn("copies", (whole + (seeded_unit(F.col(key), seed) < rate - whole).cast("long")).cast("long"))
+    known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    # the number is drawn before the join, so that it doesn't have to carry the text
+    drawn = sized.withColumn("_mix", name).withColumn("_mix_unit", seeded_unit(known, seed)).join(goals, "_mix")
+    return drawn.withColumn("copies", (whole + (F.col("_mix_unit") < rate - whole).cast("long")).cast("long")).drop("_mix", "_mix_unit")

@@ -23,3 +23,25 @@ def test_stages_take_effect(spark, tmp_path):
     empty = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).select(F.count("*")).first()[0] == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    from fellgrid.llm import langid
+
+    base = "the men and the women of this town are at work with what they have for that long day in spring".split()
+    texts = [" ".join(base[(i * k) % len(base)] + ("" if k % 5 else f"x{i}") for k in range(1, 60)) for i in range(8)]
+    item = "Seven green boats crossed the wide lake before noon and came back full of silver fish for supper"
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[2]), (9, texts[3]), (None, texts[0]), (7, item), (None, "so it was " + item)]
+    docs = spark.createDataFrame([(k, t, "en", f"s{i % 2}", len(t)) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    d = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    kept = sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=str)
+    assert [x for x in pairs(corpus_pipeline.near_dedup(spark, docs, d)) if item not in x[1]] == kept
+    assert pairs(corpus_pipeline.decontaminate(spark, docs, d)) == sorted([x for x in rows if item not in x[1]], key=str)
+    # a source whose rate is a whole number takes each row, and one with a fraction takes some of those without an id
+    two = spark.createDataFrame([(None, f"word{i} and more", "a") for i in range(300)] + [(i, "b " * 20, "b") for i in range(300)], "doc_id long, text string, source string")
+    taken = corpus_pipeline.mixing.mix_sources(two, weights=(1.0, 9.0), share=0.65).filter("source = 'a'").select("copies", "size", "target").collect()
+    assert all(r["copies"] is not None for r in taken) and len({r["copies"] for r in taken}) == 2
+    assert abs(sum(r["copies"] * r["size"] for r in taken) - taken[0]["target"]) < 0.2 * taken[0]["target"]
+    assert langid.fit(docs.withColumn("doc_id", docs["doc_id"] * None), most_docs=2, rounds=1).labels == ["en"]
