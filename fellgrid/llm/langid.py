@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over the words of a text.
 
 Each word has features: the word itself (lexicon), prefixes and suffixes of one to three bytes, and the
-three-byte n-grams of the word between marks, hashed into a fixed number of slots.  A slot holds a weight for each language; the
+three-byte n-grams of the whole word between marks, hashed into a fixed number of slots.  A slot holds a weight for each language; the
 chain has a weight for each pair of neighbouring languages.  Forward-backward gives each word its
 distribution over languages given the whole text, so code-switched passages are labelled word by word; a
 text's language is the one with the largest mean over its words.
@@ -23,8 +23,32 @@ from pyspark.sql import functions as F
 
 from .common import byte_rows, mix, slices
 
-#: Longest part of a word that makes features: whole words up to this size, and both ends of longer ones.
-_PART = 24
+#: Longest word that is one position of the chain, in bytes; longer runs become several.
+_PIECE = 48
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text; runs of more than _PIECE bytes are cut between characters into pieces that overlap by two bytes or more, so that no n-gram is lost."""
+    words = text.split()
+    if not words or max(map(len, words)) <= _PIECE:
+        return words
+    out = []
+    for w in words:
+        start, end = 0, len(w)
+        while len(w) - start > _PIECE:
+            end = _floor(w, start + _PIECE)
+            out.append(w[start:end])
+            start = _floor(w, end - 2)
+        out.append(w[start:])
+    return out
+
+
+def _floor(word: bytes, at: int) -> int:
+    """The last place up to ``at`` where a character begins."""
+    for i in range(4):
+        if word[at - i] & 0xC0 != 0x80:
+            return at - i
+    return at
 
 
 def has_letter(word: bytes) -> bool:
@@ -38,9 +62,9 @@ def features(words: list[bytes], slots: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(kept):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     whole = np.array([xxhash.xxh3_64_intdigest(words[i]) for i in kept], np.uint64)
-    cut = [w if len(w) <= 2 * _PART else w[:_PART] + w[-_PART:] for w in (words[i] for i in kept)]
-    raw = np.frombuffer(b"^" + b"$^".join(cut) + b"$", np.uint8).astype(np.uint64)
-    size = np.array([len(w) for w in cut], np.int64)
+    held = [words[i] for i in kept]
+    raw = np.frombuffer(b"^" + b"$^".join(held) + b"$", np.uint8).astype(np.uint64)
+    size = np.array([len(w) for w in held], np.int64)
     first = np.r_[0, np.cumsum(size + 2)[:-1]] + 1
     last = first + size - 1
     number = np.repeat(np.arange(len(kept)), size)
@@ -173,7 +197,7 @@ def train(texts: list[bytes], langs: list[str], *, slots: int = 1 << 16, rounds:
     number = {x: i for i, x in enumerate(labels)}
     pieces: list[tuple[int, list[bytes]]] = []
     for text, lang in zip(texts, langs):
-        words = [_lower(w) for w in text.split()]
+        words = [_lower(w) for w in words_of(text)]
         pieces += [(number[lang], words[i : i + stretch]) for i in range(0, len(words), stretch)]
     order = np.random.default_rng(seed).permutation(len(pieces))
     ids: dict[bytes, int] = {}
@@ -270,7 +294,7 @@ class _Emissions(dict):
 def label_words(model: Crf, texts: list[bytes], cache: _Emissions | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document number, distribution over languages) for each word with a letter, in order."""
     cache = cache if cache is not None else _Emissions(model)
-    split = [t.split() for t in texts]
+    split = [words_of(t) for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
     rows = cache.rows([w for words in split for w in words])
     doc, rows = doc[rows >= 0], rows[rows >= 0]

@@ -33,6 +33,19 @@ def test_language_id(spark):
     assert (p[:8].argmax(1) == 1).all() and (p[-8:].argmax(1) == 0).all()
 
 
+def test_language_id_reads_all_of_long_runs():
+    ends, middle = "".join(ENGLISH).encode(), "".join(GERMAN * 20).encode()
+    run = ends + middle + ends
+    pieces = langid.words_of(b"a " + run)
+    assert pieces[0] == b"a" and all(len(p) <= 48 and p.decode() for p in pieces)
+    assert {run[i : i + 3] for i in range(len(run) - 2)} == {p[i : i + 3] for p in pieces[1:] for i in range(len(p) - 2)}
+    assert len(set(langid.features([run], 1 << 30)[1])) > len(set(langid.features([ends[:24] + ends[-24:]], 1 << 30)[1])) + 20
+    rows = [(t, lang) for lang, words in (("en", ENGLISH), ("de", GERMAN)) for t in sentences(words, 40, len(lang))]
+    model = langid.train([t.encode() for t, _ in rows] + [t.replace(" ", "").encode() for t, _ in rows], [lang for _, lang in rows] * 2, rounds=20)
+    doc, p = langid.label_words(model, [run])
+    assert len(p) > 10 and model.labels[p.mean(0).argmax()] == "de"
+
+
 def test_language_id_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(empty)
