@@ -6,10 +6,13 @@ least one suffix at the same place, so any passage that repeats over ``least`` w
 first ``every`` positions, of which at least ``least - every + 1`` words follow inside the passage.
 
 1. Suffixes are grouped by their first ``least - every + 1`` words; those that occur once are dropped.
-2. The others are sorted by their words and each is compared with its neighbours in that order; sorted by what
-   stands before them, they are compared with their neighbours there too.  Matches are extended to the left and right
-   word by word; those of ``least`` words or more are repeated passages.
-3. Overlapping passages of one document become spans.
+2. The others are sorted by their words and each is compared with its neighbours in that order, which gives the most words
+   that any other suffix of its group shares with it to the right; sorted by what stands before them, the neighbours there give the
+   most to the left.  Matches are extended to both sides word by word; those of ``least`` words or more are repeated passages.
+3. No passage around a suffix reaches beyond its most words to the left and right.  Where these make ``least`` words
+   and the neighbours' matches don't reach as far, another suffix may share more on both sides at once.  All suffixes of
+   such a group are then compared by the hashes of every window of ``least`` words that begins up to ``every - 1`` words before them, which leaves nothing out.
+4. Overlapping passages of one document become spans.
 
 The sort is by ranges of (first words, rest), not by key, so a passage that a third of all documents share is
 spread over many tasks; the rows at the seams of two tasks travel with both.
@@ -24,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WordHash, byte_rows, cut, slices, window_hashes
 
@@ -48,15 +50,15 @@ def _bytes_of(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :_WORD].tobytes()
 
 
-def _suffixes(docs: DataFrame, *, key: str, text: str, gram: int, every: int, least: int) -> DataFrame:
-    """(id, n, digest, pos, heads) for each text: its length in words, a digest of them, its suffixes and their first words' hashes."""
+def _suffixes(docs: DataFrame, *, text: str, gram: int, every: int, least: int) -> DataFrame:
+    """(id, row, n, digest, pos, heads) for each text: its length in words, a digest of them, its suffixes and their first words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         size = least - every + 1
         for batch in slices(batches, "text"):
             ns, digests, poss, heads, offsets = [], [], [], [], [0]
-            for raw in byte_rows(batch.column(1)):
+            for raw in byte_rows(batch.column(2)):
                 h = cache.of(raw.lower().split())
                 ns.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -71,14 +73,18 @@ def _suffixes(docs: DataFrame, *, key: str, text: str, gram: int, every: int, le
             head = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             ends = pa.array(offsets, pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(head))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), *lists], ["id", "n", "digest", "pos", "heads"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), *lists], ["id", "row", "n", "digest", "pos", "heads"])
 
-    pair = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return pair.mapInArrow(run, "id long, n long, digest binary, pos array<int>, heads array<long>")
+    return _rows(docs, text).mapInArrow(run, "id long, row long, n long, digest binary, pos array<int>, heads array<long>")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, every: int, least: int) -> DataFrame:
-    """(head, id, pos, left, right): wanted suffixes, ``every`` words before each (nearest first) and ``least`` from it on."""
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    """(id, row, text): ``row`` tells the texts apart that share an id."""
+    return docs.select("id", F.xxhash64(F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"))
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, *, text: str, every: int, least: int) -> DataFrame:
+    """(head, row, pos, left, right): wanted suffixes, ``every`` words before each (nearest first) and ``least`` from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
@@ -94,86 +100,196 @@ def _contexts(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, every:
                     if p + size <= n and heads[p] == m["head"]:
                         out.append((m["head"], i, p, backward[(n - p) * _WORD : (n - p + every) * _WORD], forward[p * _WORD : (p + least) * _WORD]))
             kinds = [pa.int64()] * 3 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 5, kinds)], ["head", "id", "pos", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((),) * 5, kinds)], ["head", "row", "pos", "left", "right"])
+
+    marks = wanted.groupBy("id", "row").agg(F.collect_set(F.struct("pos", "head")).alias("marks"))
+    return _rows(docs, text).join(marks, ["id", "row"]).select("row", "text", "marks").mapInArrow(run, "head long, row long, pos long, left binary, right binary")
+
 
-    marks = wanted.groupBy("id").agg(F.collect_set(F.struct("pos", "head")).alias("marks"))
-    pair = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(marks, "id")
-    return pair.select("id", "text", "marks").mapInArrow(run, "head long, id long, pos long, left binary, right binary")
+def _words_of(contexts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts as rows of ``words`` words, shorter ones filled up; number of words of each)."""
+    wide = words * _WORD
+    flat = b"".join(c.ljust(wide, b"\0") for c in contexts)
+    return np.frombuffer(flat, np.uint8).reshape(len(contexts), words, _WORD), np.array([len(c) // _WORD for c in contexts], np.int64)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Number of equal words at the start of two contexts."""
-    n = min(len(a), len(b)) // _WORD
-    if a[: n * _WORD] == b[: n * _WORD]:
-        return n
-    x, y = np.frombuffer(a, np.uint8, n * _WORD), np.frombuffer(b, np.uint8, n * _WORD)
-    return int((x != y).argmax()) // _WORD
+def _agree(contexts: list[bytes], words: int) -> np.ndarray:
+    """Number of equal words at the start of each context and the next."""
+    rows, size = _words_of(contexts, words)
+    differ = (rows[1:] != rows[:-1]).any(2)
+    first = np.where(differ.any(1), differ.argmax(1), words)
+    return np.minimum(first, np.minimum(size[1:], size[:-1]))
+
+
+def _matches(rows: list[tuple], side: int, every: int, least: int) -> np.ndarray:
+    """(most, back, ahead) of rows (head, row, pos, left, right) from the comparison of each with the next.
+
+    most: words shared with a neighbour on the sorted ``side`` (0: right, 1: left).  back, ahead: reach of the matches of
+    ``least`` words or more, -1 without one.
+    """
+    out = np.full((len(rows), 3), -1, np.int64)
+    if len(rows) < 2:
+        return out
+    name = np.array([r[:3] for r in rows], np.int64)
+    left, right = _agree([r[3] for r in rows], every), _agree([r[4] for r in rows], least)
+    same = (name[1:, 0] == name[:-1, 0]) & (name[1:, 1:] != name[:-1, 1:]).any(1)
+    long = same & (left + right >= least)
+    for part in (out[1:], out[:-1]):
+        np.maximum(part[:, 0], np.where(same, left if side else right, -1), out=part[:, 0])
+        np.maximum(part[:, 1], np.where(long, left, -1), out=part[:, 1])
+        np.maximum(part[:, 2], np.where(long, right, -1), out=part[:, 2])
+    return out
 
 
-def _compare(x: tuple, y: tuple, least: int) -> list[tuple[int, int, int]]:
-    """The match of two suffixes (head, id, pos, left, right), extended both ways, as spans of both texts; none if short."""
-    if x[0] != y[0] or x[1:3] == y[1:3]:
-        return []
-    before, after = _common(x[3], y[3]), _common(x[4], y[4])
-    return [(r[1], r[2] - before, r[2] + after) for r in (x, y)] if before + after >= least else []
+_NAMES = ["side", "row", "pos", "head", "most", "back", "ahead"]
 
 
-def _neighbours(suffixes: DataFrame, order: str, least: int) -> DataFrame:
-    """(id, start, stop) of the matches of suffixes that come next to one another by (head, ``order``)."""
-    by = ["head", order, "id", "pos"]
-    columns = ["head", "id", "pos", "left", "right"]
+def _reach(suffixes: DataFrame, side: int, every: int, least: int) -> DataFrame:
+    """(side, row, pos, head, most, back, ahead) of each suffix from its neighbours in the order of one side; a suffix can have several rows."""
+    order = ["right", "left"][:: -1 if side else 1]
+    by = ["head", *order, "row", "pos"]
+    columns = ["head", "row", "pos", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        last, seams = None, []
+        last, first = None, None
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if last is None:
-                    seams.append(row)
-                else:
-                    out += _compare(last, row, least)
-                last = row
-            cols = list(zip(*out)) if out else [()] * 3
-            none = [pa.nulls(len(out), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + none, ["i", "start", "stop", *columns])
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
+            if not rows:
+                continue
+            first = rows[0] if first is None else first
+            rows = rows if last is None else [last, *rows]
+            last = rows[-1]
+            found = _matches(rows, side, every, least)
+            name = np.array([r[:3] for r in rows], np.int64)
+            none = [pa.nulls(len(rows), pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), side, np.int8)), *(pa.array(c) for c in (name[:, 1], name[:, 2], name[:, 0], *found.T)), *none], [*_NAMES, "left", "right"])
         if last is not None:  # the first and the last row, for the neighbours in other tasks: numbered 2 task, 2 task + 1
-            rows = list(zip(*[seams[0], last]))
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
-            places = [pa.nulls(2, pa.int64()), pa.array([2 * task, 2 * task + 1], pa.int64()), pa.nulls(2, pa.int64())]
-            yield pa.RecordBatch.from_arrays(places + [pa.array(c, k) for c, k in zip(rows, kinds)], ["i", "start", "stop", *columns])
+            head, row, pos, left, right = zip(first, last)
+            ints = [pa.array([None, None], pa.int8()), *(pa.array(c, pa.int64()) for c in (row, pos, head, (2 * task, 2 * task + 1), (None, None), (None, None)))]
+            yield pa.RecordBatch.from_arrays([*ints, pa.array(left, pa.binary()), pa.array(right, pa.binary())], [*_NAMES, "left", "right"])
 
     ordered = suffixes.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by)
-    found = cut(ordered.mapInArrow(run, "i long, start long, stop long, head long, id long, pos long, left binary, right binary"), "matches")
+    found = cut(ordered.mapInArrow(run, "side byte, row long, pos long, head long, most long, back long, ahead long, left binary, right binary"), "matches")
     # two rows a task, so their number is that of tasks
-    seams = [tuple(r) for r in found.filter("i is null").orderBy("start").select(*columns).collect()]
-    seams = [(h, i, p, bytes(left), bytes(right)) for h, i, p, left, right in seams]
-    across = [m for x, y in zip(seams[1::2], seams[2::2]) for m in _compare(x, y, least)]
-    matches = found.filter("i is not null").select(F.col("i").alias("id"), "start", "stop")
-    return matches.unionByName(suffixes.sparkSession.createDataFrame(across, "id long, start long, stop long")) if across else matches
+    seams = [(h, i, p, bytes(left), bytes(right)) for h, i, p, left, right in found.filter("side is null").orderBy("most").select(*columns).collect()]
+    across = []
+    for x, y in zip(seams[1::2], seams[2::2]):
+        across += [(side, r[1], r[2], r[0], *m) for r, m in zip((x, y), _matches([x, y], side, every, least).tolist())]
+    inside = found.filter("side is not null").select(*_NAMES)
+    return inside.unionByName(suffixes.sparkSession.createDataFrame(across, "side byte, row long, pos long, head long, most long, back long, ahead long")) if across else inside
+
+
+def _by_row(batches: Iterator[pa.RecordBatch], work) -> Iterator[tuple]:
+    """``work`` (row, columns) for the records of each row, which come one after the other; the first column is the row."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> tuple:
+        t = pa.Table.from_batches(held)
+        return work(t.column(0)[0].as_py(), [c.to_numpy() for c in t.columns[1:]])
+
+    for batch in batches:
+        row = batch.column(0).to_numpy()
+        edges = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1, len(row)]
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            if a == b:
+                continue
+            if held and held[-1].column(0)[0].as_py() != row[a]:
+                yield done()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield done()
+
+
+def _union(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans that intervals make together; those that touch or overlap become one."""
+    order = np.lexsort((stop, start))
+    start, stop = start[order], stop[order]
+    reach = np.maximum.accumulate(stop)
+    new = np.r_[True, start[1:] > reach[:-1]] if len(start) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return start[first], np.maximum.reduceat(stop, first) if len(first) else stop
+
+
+def _resolve(reached: DataFrame, least: int) -> DataFrame:
+    """(row, start, stop, head) of the matches, as spans of each row, head null; and of suffixes whose neighbours don't tell all, head set."""
+
+    def work(row: int, columns: list[np.ndarray]) -> tuple:
+        side, pos, head, most, back, ahead = columns
+        at, place = np.unique(pos, return_inverse=True)
+        top = np.full((4, len(at)), -1, np.int64)
+        heads = np.zeros(len(at), np.int64)
+        heads[place] = head
+        for k, values in ((0, np.where(side == 0, most, -1)), (1, np.where(side == 1, most, -1)), (2, back), (3, ahead)):
+            np.maximum.at(top[k], place, values)
+        right, left, back, ahead = top
+        found = back >= 0
+        start, stop = _union(at[found] - back[found], at[found] + ahead[found])
+        open_ = (left + right >= least) & ((back < left) | (ahead < right))
+        return [row] * (len(start) + open_.sum()), np.r_[start, at[open_]], np.r_[stop, at[open_]], [None] * len(start) + heads[open_].tolist()
+
+    return reached.select("row", "side", "pos", "head", "most", "back", "ahead").repartition("row").sortWithinPartitions("row").mapInArrow(lambda batches: _records(_by_row(batches, work)), "row long, start long, stop long, head long")
+
+
+def _records(parts: Iterator[tuple], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    held = [[], [], [], []]
+    for part in parts:
+        for a, b in zip(held, part):
+            a.extend(b)
+        if len(held[0]) > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], ["row", "start", "stop", "head"])
+            held = [[], [], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], ["row", "start", "stop", "head"])
+
+
+def _windows(suffixes: DataFrame, every: int, least: int) -> DataFrame:
+    """(head, o, h, row, start): the windows of ``least`` words that begin ``o`` = 0 to ``every`` - 1 words before each suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for head, row, pos, left, right in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                for o in range(max(0, least - len(right) // _WORD), min(every, len(left) // _WORD + 1)):
+                    h = xxhash.xxh3_64_intdigest(left[: o * _WORD] + b"|" + right[: (least - o) * _WORD])
+                    out.append((head, o, h - (1 << 64) if h >> 63 else h, row, pos - o))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 5)], ["head", "o", "h", "row", "start"])
+
+    return suffixes.select("head", "row", "pos", "left", "right").mapInArrow(run, "head long, o long, h long, row long, start long")
 
 
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 8, every: int = 32) -> DataFrame:
     """(key, start, stop, n_words) of the word spans of each document that repeat elsewhere, ``least`` words or longer.
 
-    Words are compared with A-Z lower-cased.  Elsewhere is another row or another place of the same text.
+    Words are compared with A-Z lower-cased (by hashes of 24 bits a word).  Elsewhere is another row or another place of the same text.
     Texts that are null, empty or shorter than ``least`` words have no spans, rows without a key are left out.
-    Rows that repeat a text are copies of each other, whole; spans of rows that share a key come together under it.  Extra
+    Rows that repeat a text are copies of each other, whole; rows that share a key each bring the spans of their text under it.  Extra
     columns are ignored; an empty table gives an empty result.
     """
-    found = cut(_suffixes(docs, key=key, text=text, gram=gram, every=every, least=least).filter(F.col("n") >= least), "suffixes")
+    docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    found = cut(_suffixes(docs, text="text", gram=gram, every=every, least=least).filter(F.col("n") >= least), "suffixes")
     # equal texts: one goes on, all are repeated from start to end
-    classes = cut(found.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "classes")
+    classes = cut(found.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows")).select("digest", "first.id", "first.row", "rows"), "classes")
     copies = found.select("id", "n", "digest").join(classes.filter("rows > 1").select("digest"), "digest").select("id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
-    alone = found.join(classes.select("digest", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest"])
-    rows = cut(alone.select("id", F.explode(F.arrays_zip("pos", "heads")).alias("x")).select("id", F.col("x.pos").alias("pos"), F.col("x.heads").alias("head")), "rows")
+    alone = found.join(classes.select("digest", "id", "row"), ["digest", "id", "row"], "left_semi").dropDuplicates(["digest"])
+    rows = cut(alone.select("id", "row", F.explode(F.arrays_zip("pos", "heads")).alias("x")).select("id", "row", F.col("x.pos").alias("pos"), F.col("x.heads").alias("head")), "rows")
     often = cut(rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head"), "often")  # a table, so that the join can split frequent heads
-    suffixes = cut(_contexts(docs, rows.join(often, "head", "left_semi"), key=key, text=text, every=every, least=least), "contexts")
-    spans = _neighbours(suffixes, "right", least).unionByName(_neighbours(suffixes, "left", least)).unionByName(copies)
-    order = Window.partitionBy("id").orderBy("start", "stop")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.distinct().withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    merged = marked.withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return merged.select(F.col("id").alias(key), "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"))
+    suffixes = cut(_contexts(docs, rows.join(often, "head", "left_semi"), text="text", every=every, least=least), "contexts")
+    spans = cut(_resolve(_reach(suffixes, 0, every, least).unionByName(_reach(suffixes, 1, every, least)), least), "spans")
+    matches = spans.filter("head is null").select("row", "start", "stop")
+    hard = cut(spans.filter("head is not null").select("head").distinct(), "hard")
+    if hard.limit(1).count():
+        windows = cut(_windows(suffixes.join(hard, "head", "left_semi"), every, least), "windows")
+        again = cut(windows.groupBy("head", "o", "h").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "again")
+        more = windows.join(again, ["head", "o", "h"], "left_semi").select("row", "start", (F.col("start") + least).alias("stop"))
+
+        def work(row: int, columns: list[np.ndarray]) -> tuple:
+            start, stop = _union(*columns)
+            return [row] * len(start), start, stop, [None] * len(start)
+
+        both = matches.unionByName(more).repartition("row").sortWithinPartitions("row")
+        matches = both.mapInArrow(lambda batches: _records(_by_row(batches, work)), "row long, start long, stop long, head long").select("row", "start", "stop")
+    named = matches.join(classes.filter("rows = 1").select("id", "row"), "row").select("id", "start", "stop")
+    return named.unionByName(copies).select(F.col("id").alias(key), "start", "stop", (F.col("stop") - F.col("start")).alias("n_words")).distinct()

@@ -113,6 +113,65 @@ def test_repeated_passages_match_brute_force(spark):
     assert suffix_dedup.repeated_passages(df.limit(0)).collect() == []
 
 
+def decoys(seed):
+    """Two texts that share 50 to 72 words around a core, and texts that share more of it on one side but less than 50 words in all."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    noise = lambda n: [word() for _ in range(n)]
+    rows = []
+    for _ in range(3):
+        shared = noise(rng.choice([50, 50, 51, 60, 72]))
+        n = len(shared)
+        rows += [noise(rng.randint(0, 40)) + shared + noise(rng.randint(0, 40)) for _ in range(2)]
+        for _ in range(12):
+            before, after = noise(30), noise(30)
+            a = rng.randint(0, n - 20)
+            b = min(n, a + rng.randint(20, 49))
+            part = shared[a:b]
+            if rng.random() < 0.5:  # longer to the right than any true match, in what follows one of the two
+                source = rows[-1] if rng.random() < 0.5 else rows[0]
+                at = rng.randint(0, max(0, len(source) - 49))
+                part = source[at : at + 49]
+            rows.append(before + part + after)
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_passages_among_decoys(spark, seed):
+    rows = decoys(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["stop"]) for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == brute_spans(rows, 50)
+
+
+def test_repeated_passages_hidden_on_both_sides(spark):
+    """Fifty shared words, and decoys that agree with one of the two further to the right or further to the left, none in fifty words."""
+    rng = random.Random(4)
+    noise = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    shared = noise(50)
+    first, second = noise(30) + shared + noise(30), noise(30) + shared + noise(30)
+    rows = [first, second]
+    for k in range(12):
+        of = first if k % 2 else second
+        cut = of[37 : 37 + 43 + 6] if k < 6 else of[25 : 25 + 49]
+        rows.append(noise(12) + cut + noise(12))
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {(r["doc_id"], r["start"], r["stop"]) for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_spans(rows, 50)
+    assert {g[0] for g in got} >= {0, 1}
+
+
+def test_repeated_passages_of_rows_that_share_a_key(spark):
+    rng = random.Random(9)
+    noise = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    shared = noise(60)
+    texts = [" ".join(shared + noise(5)), " ".join(noise(7) + shared), " ".join(noise(80))]
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[0]), (2, texts[2])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["stop"]) for r in suffix_dedup.repeated_passages(df).collect())
+    assert got == [(1, 0, 60), (1, 0, 67)]
+
+
 def brute_vectors(rows, threshold):
     ok = lambda v: v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
     links, root = {k: 0 for k, _, _ in rows}, {k: k for k, _, _ in rows}
