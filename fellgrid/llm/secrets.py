@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, slices
+from .common import byte_rows, mix, slices
 from .langid import forward_backward
 
 #: The base patterns, in the order that ties take.
@@ -40,9 +40,10 @@ _LONG_HEX = re.compile(rb"[0-9a-f]{24}")
 _KEYWORD = re.compile(rb"pass|pwd|secret|token|key|auth|bearer|credential|private|login|signature", re.IGNORECASE)
 _SETTINGS = re.compile(rb"\x00[\t-\r ]*(?:env|ini|cfg|conf|yml|yaml|json|toml|properties|pem|tf|sh|py|js)(?=\x00)", re.IGNORECASE)
 
-#: A token: a run of characters that secrets are mostly made of, or one other character; white space before it belongs to it.
-_RAW = re.compile(rb"[\t-\r ]*(?:[A-Za-z0-9+/_\x80-\xff-]+|[^\t-\r A-Za-z0-9+/_\x80-\xff-])")
-_TOKEN = re.compile("[\t-\r ]*([A-Za-z0-9+/_\u0080-\U0010ffff-]+|[^\t-\r A-Za-z0-9+/_\u0080-\U0010ffff-])")
+#: A token is a run of bytes that secrets are mostly made of (letters, digits, + / _ - and all beyond ASCII), or one other byte that is no white space.
+_SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+_RUN = np.isin(np.arange(256), list((string.ascii_letters + string.digits + "+/_-").encode())) | (np.arange(256) >= 128)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _OUT, _BEGIN, _IN = 0, 1, 2
 _NEVER = -30.0  # the weight of what can't be: a text that begins inside, inside after outside
 
@@ -74,95 +75,147 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
 _LOOKS = (16, 13, 80, 16, 6, 9, 6, 7, 2, 2, 2, 4, 5, 257)
 _VOWEL = np.isin(np.arange(256), list(b"aeiouyAEIOUY")) | (np.arange(256) >= 128)
 _KIND_OF = np.select([(np.arange(256) >= a) & (np.arange(256) <= b) for a, b in ((48, 57), (65, 90), (97, 122), (128, 255))], [1, 2, 3, 4], 0)
-_SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
 _HEX_DIGIT = np.isin(np.arange(256), list(b"0123456789abcdef"))
+#: What is counted of a token's bytes, four counts of 16 bits in each of two sums.
+_COUNTED = [[_KIND_OF == k for k in (1, 2, 3, 4)], [_VOWEL, _HEX_DIGIT, np.arange(256) == 47, np.isin(np.arange(256), (45, 95))]]
+_PACKED = [sum(w.astype(np.int64) << (16 * i) for i, w in enumerate(ws)) for ws in _COUNTED]
 
 
-def describe(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(class, gap, feature numbers in the order of ``_LOOKS``) of each token; all but the gap without the white space before it.
+def find_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, text number, start, length, hash, gap) of the tokens; texts stand end to end with a line break after each.
+
+    gap: 0 glued to the token before, 1 after white space, 2 after a line break.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    run, space = _RUN[raw], _SPACE[raw]
+    begins = ~space
+    begins[1:] &= ~(run[1:] & run[:-1])
+    start = np.flatnonzero(begins)
+    # a run ends where the next byte is of another kind
+    ends = ~space
+    ends[:-1] &= ~(run[1:] & run[:-1])
+    length = np.flatnonzero(ends) + 1 - start
+    doc = np.searchsorted(np.cumsum(size), start, side="right")
+    # polynomial hashes of all tokens from sums over the bytes; powers by place in the token
+    place = np.arange(len(raw)) - np.maximum.accumulate(np.where(begins, np.arange(len(raw)), 0))
+    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, _STEP))
+    terms = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.where(space, np.uint64(0), power[place]))
+    last = start + length - 1
+    h = mix(terms[last] - np.where(start > 0, terms[start - 1], np.uint64(0)) + length.astype(np.uint64)) | np.uint64(1)
+    lines = np.cumsum((raw == 10) | (raw == 13))
+    before = np.r_[0, last[:-1]] if len(start) else start
+    gap = np.where(start == before + 1, 0, np.where(lines[start] > lines[before], 2, 1))
+    return raw, doc, start, length, h, gap
+
+
+def describe(raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(class, feature numbers in the order of ``_LOOKS``) of each token, from their bytes end to end and their lengths.
 
     The features: which kinds of characters, length, both together, entropy (from eight characters on), share of digits, how often the kind
     changes, share of vowels, longest run without one, hexadecimal, a usual key length, ASCII, slashes, joining marks, the character itself if it is one.
     """
-    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    line = b"\x00" + b"\x00".join(tokens) + b"\x00"
-    where = np.cumsum(length + 1) - length
-    raw = np.frombuffer(b"".join(tokens), np.uint8)
-    blank = _SPACE[raw]
-    begin = np.cumsum(length) - length
-    ahead = np.add.reduceat(blank.astype(np.int64), begin)
-    gap = np.where(ahead == 0, 0, 1 + np.maximum.reduceat(((raw == 10) | (raw == 13)).astype(np.int64), begin))
-    raw, n = raw[~blank], length - ahead
     first = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(n)), n)
-    count = lambda what: np.add.reduceat(what.astype(np.int64), first)
-    kind = _KIND_OF[raw]
-    digits, upper, lower, high = (count(kind == k) for k in (1, 2, 3, 4))
+    if n.max() < 1 << 15:
+        sums = [np.add.reduceat(packed[raw], first) for packed in _PACKED]
+        digits, upper, lower, high, vowels, hexes, slashes, joins = (s >> (16 * i) & 0xFFFF for s in sums for i in range(4))
+    else:
+        digits, upper, lower, high, vowels, hexes, slashes, joins = (np.add.reduceat(w[raw].astype(np.int64), first) for ws in _COUNTED for w in ws)
     rest = n - digits - upper - lower
+    kind = _KIND_OF[raw]
     far = (n >= 8)[owner]  # shorter tokens count as one of no entropy
-    pair, times = np.unique(owner[far] * 256 + raw[far], return_counts=True)
+    pair, times = np.unique((owner[far] * 256 + raw[far]).astype(np.int64), return_counts=True)
     share = times / n[pair >> 8]
     bits = -np.bincount(pair >> 8, share * np.log2(share), minlength=len(n))
-    turn = np.zeros(len(raw), bool)
+    turn = np.zeros(len(raw), np.int64)
     turn[1:] = (kind[1:] != kind[:-1]) & (owner[1:] == owner[:-1]) & ~((kind[:-1] == 2) & (kind[1:] == 3))
-    turns, vowels = count(turn) / n, count(_VOWEL[raw]) / n
+    turns = np.add.reduceat(turn, first) / n
     place = np.arange(len(raw))
     barrier = _VOWEL[raw] | (kind != 2) & (kind != 3)
     past = np.maximum.accumulate(np.where(barrier, place, np.where(place == first[owner], place - 1, -1)))
     clump = np.maximum.reduceat(place - past, first)
-    of = lambda c: count(raw == c)
     shape = (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (rest > 0)
-    joins = of(45) + of(95)
-    looks = [shape, np.minimum(n // 4, 12), shape * 5 + np.minimum(n // 8, 4), np.minimum((bits * 2).astype(np.int64), 15), 5 * digits // n, (turns * 8).astype(np.int64), (vowels * 5).astype(np.int64)]
-    looks += [np.minimum(clump, 6), (count(_HEX_DIGIT[raw]) == n).astype(np.int64), np.isin(n, (16, 20, 24, 32, 36, 40, 64)).astype(np.int64), (high == 0).astype(np.int64), np.minimum(of(47), 3), np.minimum(joins, 4), np.where(n == 1, raw[first] + 1, 0)]
+    looks = [shape, np.minimum(n // 4, 12), shape * 5 + np.minimum(n // 8, 4), np.minimum((bits * 2).astype(np.int64), 15), 5 * digits // n, (turns * 8).astype(np.int64), 5 * vowels // n]
+    looks += [np.minimum(clump, 6), (hexes == n).astype(np.int64), np.isin(n, (16, 20, 24, 32, 36, 40, 64)).astype(np.int64), (high == 0).astype(np.int64), np.minimum(slashes, 3), np.minimum(joins, 4), np.where(n == 1, raw[first].astype(np.int64) + 1, 0)]
     # the class that neighbours see
     letters, ascii_ = (upper + lower + high == n), high == 0
-    body_upper = upper - (kind[first] == 2)
-    body_lower = lower - (kind[first] == 3)
+    body_upper, body_lower = upper - (kind[first] == 2), lower - (kind[first] == 3)
     inner = (body_upper > 0) & (body_lower > 0) & ascii_
-    title = kind[first] == 2
-    of_letters = np.select([inner & (n >= 20), inner & (n >= 8), (upper == n) & (n > 1), title, n >= 12], [_LONG, _MIXED, 8, 7, 15], 6)
-    many = (of(47) > 1) | (of(45) > 1) | (of(95) > 1)
+    of_letters = np.select([inner & (n >= 20), inner & (n >= 8), (upper == n) & (n > 1), kind[first] == 2, n >= 12], [_LONG, _MIXED, 8, 7, 15], 6)
+    of_byte = lambda c: np.add.reduceat((raw == c).astype(np.int64), first) if (raw == c).any() else np.zeros(len(n), np.int64)
+    many = (slashes > 1) | ((joins > 1) & ((of_byte(45) > 1) | (of_byte(95) > 1)))
     out = np.select([letters | ~ascii_, digits == n, many], [of_letters, 9, 12], np.where(n >= 12, _LONG, _MIXED))
+    # words of their own, found in all tokens at once, zero bytes between them
+    spread = np.zeros(len(raw) + len(n) + 1, np.uint8)
+    spread[place + owner + 1] = raw
+    line, where = spread.tobytes(), first + np.arange(len(n)) + 1
     named = np.zeros(len(n), bool)
-    hits = [m.start() for m in _KEYWORD.finditer(line)]
-    named[np.searchsorted(where, hits, side="right") - 1] = True
+    named[np.searchsorted(where, [m.start() for m in _KEYWORD.finditer(line)], side="right") - 1] = True
     out[named & (digits == 0) & (n < 32)] = _KEY
     out[np.searchsorted(where, [m.start() + 1 for m in _SETTINGS.finditer(line)])] = _SET
-    out[count((raw == 45) | (raw == 95) | (raw == 47) | (raw == 43)) == n] = 13
+    out[(joins + slashes + of_byte(43) == n)] = 13
     one = np.flatnonzero((n == 1) & (kind[first] == 0) & ~np.isin(raw[first], list(b"+/_-")))
-    out[one] = np.select([np.isin(raw[first][one], list(b"=:")), np.isin(raw[first][one], list(b"\"'`")), raw[first][one] == 46], [_ASSIGN, 2, 3], 4)
-    return out, gap, looks
+    char = raw[first][one]
+    out[one] = np.select([np.isin(char, list(b"=:")), np.isin(char, list(b"\"'`")), char == 46], [_ASSIGN, 2, 3], 4)
+    return out, looks
 
 
-class _Tokens(dict):
-    """token (with the white space before it) -> row of its class, gap (glued, blank, line break) and feature numbers, or of ``own`` of these; remembers a bounded number."""
+class _Tokens:
+    """Hash of a token -> row of its class and feature numbers, or of ``own`` of these; remembers about ``most``.
+
+    The hashes stand in a table of fixed size, each at the first free place from where its upper bits point to.
+    """
 
-    def __init__(self, own=None, most: int = 200_000):
+    def __init__(self, own=None, most: int = 300_000):
         self.own, self.most = own, most
+        self.bits = max(8, (4 * most - 1).bit_length())
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.kind, self.gap, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-    def __missing__(self, raw: bytes) -> int:
-        n = self[raw] = len(self)
-        self.new.append(raw)
-        return n
-
-    def rows(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.reset()
-        row = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if self.new:
-            kind, gap, looks = describe(self.new)
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.kind, self.values = np.zeros(0, np.int64), None
+
+    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each hash or of the free place where it would go, whether it is there)."""
+        place = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            held = self.keys[place[open_]]
+            open_ = open_[(held != 0) & (held != h[open_])]
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+        return place, self.keys[place] == h
+
+    def rows(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray) -> np.ndarray:
+        place, known = self._probe(h)
+        if not known.all():
+            new, first = np.unique(h[~known], return_index=True)
+            if len(self.kind) + len(new) > self.most and len(self.kind):
+                if len(new) > self.most:  # a batch with more different tokens than are remembered
+                    self.most = 2 * len(new)
+                    self.bits = (4 * self.most - 1).bit_length()
+                self.reset()
+                return self.rows(raw, start, length, h)
+            if 2 * (len(self.kind) + len(new)) > 1 << self.bits:
+                self.most = 2 * len(new)
+                self.bits = (4 * self.most - 1).bit_length()
+                self.reset()
+                return self.rows(raw, start, length, h)
+            at = np.flatnonzero(~known)[first]
+            n = length[at]
+            gather = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            kind, looks = describe(raw[gather], n)
             values = np.stack(looks, 1) if self.own is None else self.own(looks)
-            self.kind, self.gap = np.r_[self.kind, kind], np.r_[self.gap, gap]
+            row = np.arange(len(self.kind), len(self.kind) + len(new), dtype=np.int32)
+            self.kind = np.r_[self.kind, kind]
             self.values = values if self.values is None else np.concatenate([self.values, values])
-            self.new = []
-        return row
+            waiting = np.arange(len(new))
+            while len(waiting):  # of several that want one free place one gets it
+                spot, _ = self._probe(new[waiting])
+                self.keys[spot], self.at[spot] = new[waiting], row[waiting]
+                waiting = waiting[self.keys[spot] != new[waiting]]
+            place, _ = self._probe(h)
+        return self.at[place].astype(np.int64)
 
 
 def context_codes(kind: np.ndarray, gap: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
@@ -219,21 +272,20 @@ class SecretField:
     def own(self, looks: list[np.ndarray]) -> np.ndarray:
         return sum(w[code] for w, code in zip(self.looks, looks))
 
-    def scores(self, texts: list[bytes], table: _Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, score of each tag) of all tokens of the texts."""
-        split = [_RAW.findall(t) for t in texts]
-        doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
-        row = table.rows([t for x in split for t in x])
-        if not len(row):
-            return doc, np.zeros((0, 3), np.float32)
+    def scores(self, texts: list[bytes], table: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, score of each tag, start, end) of all tokens of the texts; places in bytes of the texts end to end."""
+        raw, doc, start, length, h, gap = find_tokens(texts)
+        if not len(start):
+            return doc, np.zeros((0, 3), np.float32), start, start
+        row = table.rows(raw, start, length, h)
         kind = table.kind[row]
         # what the whole text adds is the same for all its tokens of a class
         of_text = sum(w.reshape(-1, _C, 3)[code] for w, code in zip(self.files, file_codes(kind, doc, len(texts))))
         out = np.take(table.values, row, axis=0)
         out += np.take(of_text.reshape(-1, 3), doc * _C + kind, axis=0)
-        for weights, code in zip(self.contexts, context_codes(kind, table.gap[row], doc)):
+        for weights, code in zip(self.contexts, context_codes(kind, gap, doc)):
             out += np.take(weights, code, axis=0)
-        return doc, out
+        return doc, out, start, start + length
 
     def tags(self, doc: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """The best tagging of each text (Viterbi).
@@ -268,21 +320,26 @@ class SecretField:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the secrets of one text; code points."""
-        return next(self.spans_of([text.encode("utf-8", "surrogatepass")], [text], _Tokens(self.own)))
+        return next(self.spans_of([text.encode("utf-8", "replace")], _Tokens(self.own)))
 
-    def spans_of(self, raws: list[bytes], texts: list[str], table: _Tokens) -> Iterator[list[tuple[int, int]]]:
-        doc, scores = self.scores(raws, table)
+    def spans_of(self, texts: list[bytes], table: _Tokens) -> Iterator[list[tuple[int, int]]]:
+        """The secrets of each text (UTF-8); code points."""
+        doc, scores, start, end = self.scores(texts, table)
         tags = self.tags(doc, scores)
-        first = np.searchsorted(doc, np.arange(len(raws) + 1))
-        hit = np.bincount(doc[tags != _OUT], minlength=len(raws)) > 0
+        hit = np.flatnonzero(tags != _OUT)
+        first = np.searchsorted(doc[hit], np.arange(len(texts) + 1))
+        base = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
         for i, text in enumerate(texts):
             out: list[tuple[int, int]] = []
-            if hit[i]:
-                for m, tag in zip(_TOKEN.finditer(text), tags[first[i] : first[i + 1]].tolist()):
-                    if tag == _BEGIN:
-                        out.append(m.span(1))
-                    elif tag == _IN:
-                        out[-1] = (out[-1][0], m.end())
+            for k in hit[first[i] : first[i + 1]].tolist():
+                span = (int(start[k] - base[i]), int(end[k] - base[i]))
+                if tags[k] == _IN:
+                    out[-1] = (out[-1][0], span[1])
+                else:
+                    out.append(span)
+            if out and not text.isascii():
+                points = np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]
+                out = [(int(points[a]), int(points[b])) for a, b in out]
             yield out
 
 
@@ -337,7 +394,7 @@ def _made_up(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
         lambda: word() + word() + word() + str(rng.randint(0, 99)), lambda: "+" + pick(string.digits, 12), lambda: f"{rng.randint(1000, 9999)}x{rng.randint(1000, 9999)}px", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}",
         lambda: f"/usr/{word()}/{word()}-{rng.randint(1, 9)}.{rng.choice(['py', 'conf', 'so'])}", lambda: "-".join(word() for _ in range(4)), lambda: f"{word()}: {words(2, 6)}", lambda: f"{word()} = {rng.randint(1, 9999)}", lambda: pick(string.digits, 12, 19),
         lambda: f"{pick(string.ascii_uppercase, 2)}{pick(string.digits, 5, 9)}", lambda: word() * 6, lambda: f"{word()}!!! {word()}$$$ {word()}&&&", lambda: f"({word()}, {word()}) [{rng.randint(1, 99)}]", lambda: f"192.168.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
-        lambda: f"\"{words(1, 4)}\" {rng.choice(['said', 'meint', 'dit'])} {word().title()}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}-{rng.randint(0, 9)}", lambda: "=" * rng.randint(3, 40), lambda: f"{word()}={word()};", lambda: f"{rng.randint(1, 400)} {word()}, {rng.randint(1, 400)}%",
+        lambda: f"\"{words(1, 4)}\" {rng.choice(['said', 'meint', 'dit'])} {word().title()}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}-{rng.randint(0, 9)}", lambda: "=" * rng.randint(3, 40), lambda: f"+{rng.randint(1, 99)} ({rng.randint(10, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"{word()}={word()};", lambda: f"{rng.randint(1, 400)} {word()}, {rng.randint(1, 400)}%",
     ]
     talk = ["the key to {0} is {1}", "your password must be {0} and {1}", "a token of {0}: {1}", "keys, {0} and {1}.", "the secret {0} of {1}", "private {0}, {1}", "press any key: {0}", "Key {0}: {1}", "pass the {0} to {1}", "login is {0}", "the author is {0} {1}", "authentication by {0}, see {1}", "password: {0} {1} {0}", "token = {0}"]
     out = []
@@ -383,32 +440,29 @@ def train(texts: list[str], *, lines: int = 3000, rounds: int = 80, rate: float
             m = ASSIGN.match(text, a) if kind == 0 else None
             spans.append((m.start(2), b) if m else (a, b))
         examples.append((text, spans))
-    table = _Tokens(most=1 << 40)
-    gold: list[int] = []
-    counts, tokens = [], []
-    for text, spans in examples:
-        found, held, k = list(_TOKEN.finditer(text)), None, 0
-        spans = sorted(spans)
-        for m in found:
-            while k < len(spans) and spans[k][1] <= m.start(1):
-                k += 1
-            hit = spans[k] if k < len(spans) and spans[k][0] < m.end() else None
-            gold.append(_OUT if hit is None else _IN if hit == held else _BEGIN)
-            held = hit
-        counts.append(len(found))
-        tokens += _RAW.findall(text.encode("utf-8", "replace"))
+    table = _Tokens(most=1 << 20)
+    texts_ = [text.encode("utf-8", "replace") for text, _ in examples]
+    raw, doc, begin, length, h, gap = find_tokens(texts_)
+    gold = np.full(len(begin), _OUT)
+    base = np.cumsum([0, *(len(t) + 1 for t in texts_)])
+    for i, (text, spans) in enumerate(examples):
+        for a, b in spans:
+            a, b = (int(base[i]) + len(text[:x].encode("utf-8", "replace")) for x in (a, b))
+            inside = np.arange(np.searchsorted(begin + length, a, side="right"), np.searchsorted(begin, b))
+            gold[inside[1:]] = _IN
+            gold[inside[:1]] = np.where(gold[inside[:1]] == _OUT, _BEGIN, gold[inside[:1]])
     n = len(gold)
     hops = np.zeros((3, 3))
     sizes = (*_LOOKS, *_SIZES, *(size * _C for size in _FILE_SIZES))
     held = [np.zeros((size, 3)) for size in sizes]
     if n:
-        doc, row = np.repeat(np.arange(len(counts)), counts), table.rows(tokens)
+        row = table.rows(raw, begin, length, h)
         kind = table.kind[row]
-        codes = [*context_codes(kind, table.gap[row], doc), *(code[doc] * _C + kind for code in file_codes(kind, doc, len(counts)))]
+        codes = [*context_codes(kind, gap, doc), *(code[doc] * _C + kind for code in file_codes(kind, doc, len(texts_)))]
         truth, fixed = np.eye(3)[gold], np.zeros((n, 3))
         start = np.r_[True, doc[1:] != doc[:-1]]
         fixed[start, _IN] = _NEVER
-        pairs = np.bincount((np.array(gold[:-1]) * 3 + gold[1:])[~start[1:]].astype(np.int64), minlength=9).reshape(3, 3).astype(float)
+        pairs = np.bincount((gold[:-1] * 3 + gold[1:])[~start[1:]], minlength=9).reshape(3, 3).astype(float)
         sums = lambda where, g, size: np.stack([np.bincount(where, g[:, y], minlength=size) for y in range(3)], 1)
         squares, square_hops = [np.full_like(w, 1e-8) for w in held], np.full_like(hops, 1e-8)
         k = len(_LOOKS)
@@ -475,9 +529,9 @@ def scan_secrets(docs: DataFrame, field: SecretField | None, *, text: str = "tex
         for batch in slices(batches, text, 2 << 20):
             rows = []
             nulls = batch.column(where).is_null().to_pylist()
-            raws = byte_rows(batch.column(where))
-            texts = [raw.decode("utf-8", "replace") for raw in raws]
-            tagged = iter([[]] * len(raws)) if own is None else own.spans_of(raws, texts, table)
+            texts = [raw.decode("utf-8", "replace") for raw in byte_rows(batch.column(where))]
+            raws = [t.encode() for t in texts]
+            tagged = iter([[]] * len(raws)) if own is None else own.spans_of(raws, table)
             for raw, t, null, found in zip(raws, texts, nulls, tagged):
                 base = base_spans(t, raw)
                 more = [(a, 3, b) for a, b in found if not any(a < e and s < b for s, _, e in base)]

@@ -70,15 +70,14 @@ def test_secrets_span_several_tokens(field):
     web = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
     for text, secret in [("pwd hunter2x! it", "hunter2x!"), ("key = Zx9-Qw7.", "Zx9-Qw7"), ("jwt " + web + " end", web), ("pass is Tr0ub4dor and", "Tr0ub4dor"), ("passphrase: correct-horse-battery-staple ok", "correct-horse-battery-staple")]:
         assert [text[a:b] for a, b in field.spans(text)] == [secret]
-    doc, scores = field.scores([f"é {web} é".encode()], secrets._Tokens(field.own))
+    doc, scores, _, _ = field.scores([f"é {web} é".encode()], secrets._Tokens(field.own))
     assert field.tags(doc, scores).tolist() == [0, 1, 2, 2, 2, 2, 0]
     for text in ["the key to success is hard work", "token economy: a study", "", " \n", "Köln ist schön, sagt Anna."]:
         assert field.spans(text) == []
 
 
 def test_training_has_all_tags_and_moves_every_transition(field):
-    examples = secrets._made_up(300, 11)
-    tokens = [sum(1 for m in secrets._TOKEN.finditer(t) if a <= m.start(1) < b) for t, spans in examples for a, b in spans]
+    tokens = [len(secrets.find_tokens([t[a:b].encode()])[1]) for t, spans in secrets._made_up(300, 11) for a, b in spans]
     assert max(tokens) > 3 and sum(n > 1 for n in tokens) > 50
     assert (np.abs(field.transitions) > 1e-3).all()
 
@@ -101,8 +100,20 @@ def test_viterbi_equals_enumeration(seed, lengths, scale):
 
 def test_features_of_batches_do_not_depend_on_the_batch(field):
     texts = [t for t, _ in secrets._made_up(60, 5)] + ["", "a", "é" * 30, "x" * 50_000 + " key=Ab9$Ab9$Ab9"]
-    whole = list(field.spans_of([t.encode() for t in texts], texts, secrets._Tokens(field.own)))
-    assert whole == [field.spans(t) for t in texts]
+    want = [field.spans(t) for t in texts]
+    for most in (300_000, 50):
+        assert list(field.spans_of([t.encode() for t in texts], secrets._Tokens(field.own, most))) == want
+
+
+def test_tokens_are_runs_and_single_marks():
+    import re
+
+    texts = ["a-b c.d\n=é9 ", "", "  ", "x" * 70_000 + "!y", "\t#\r\nz", "日本 語!"]
+    raw, doc, start, length, h, gap = secrets.find_tokens([t.encode() for t in texts])
+    got = [(int(d), raw[s : s + n].tobytes().decode()) for d, s, n in zip(doc, start, length)]
+    assert got == [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[A-Za-z0-9+/_\u0080-\U0010ffff-]+|[^\t-\r A-Za-z0-9+/_\u0080-\U0010ffff-]", t)]
+    assert gap[:6].tolist()[1:] == [1, 0, 0, 2, 0]
+    assert len({(w, int(x)) for (_, w), x in zip(got, h)}) == len({w for _, w in got}) == len(set(h.tolist()))
 
 
 def test_fit_takes_bounded_samples(spark):
