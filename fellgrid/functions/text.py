@@ -75,8 +75,10 @@ def list_items(x: Column) -> Column:
 
 
 def year_list(x: Column) -> Column:
-    """Sorted different years of a comma-separated text."""
-    return F.array_sort(F.array_distinct(F.transform(list_items(x), lambda i: i.cast("int"))))
+    """The years of a comma-separated text; an error unless there is one at least and each is later than the one before."""
+    years = F.transform(list_items(x), lambda i: i.cast("int"))
+    rising = (F.size(years) > 0) & F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(years) - 1)), lambda k: F.coalesce(F.get(years, k) > F.get(years, k - 1), F.size(years) == 1))
+    return F.when(rising, years).otherwise(F.raise_error(F.concat(F.lit("years must be listed once, in order: "), F.coalesce(x, F.lit("")))))
 
 
 def osm_reference(kind: Column, number: Column) -> Column:

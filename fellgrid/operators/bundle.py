@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import checks
+
 #: What a published source shows.
 PUBLIC_KEYS = ["id", "provider", "distributor", "dataset", "release", "extract_date", "homepage_url", "licence_name", "licence_url", "attribution"]
 
@@ -64,3 +66,30 @@ def pending_files(files: DataFrame) -> DataFrame:
 
 def any_partial(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.coalesce(F.bool_or("partial"), F.lit(False)).alias("preview_partial_sources"))
+
+
+def pruning_notes(notes: DataFrame, source_id: str) -> DataFrame:
+    """Notes (source_id, action) that hold for a source: its own and those without one."""
+    return notes.filter(F.col("source_id").isNull() | (F.col("source_id") == "") | (F.col("source_id") == source_id))
+
+
+def stale_files(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Files (name, ...) that a bundle doesn't name any more."""
+    return found.join(wanted.select("name").distinct(), "name", "left_anti")
+
+
+def assemble(metrics: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
+    """The metrics of several datasets as one bundle, in order of category, place and id.
+
+    ``metrics``: id, category_id, source_id, ordinal and more; ``categories``: id, ordinal and more; ``sources``: id and more.  Definitions that contradict
+    one another, repeated metrics and references to nothing are an error that names all of them.
+    """
+    checks.require(
+        checks.violations(conflicts(categories, "id"), "categories defined in two ways"),
+        checks.violations(conflicts(sources, "id"), "sources defined in two ways"),
+        checks.violations(repeated_ids(metrics, "id"), "repeated metrics"),
+        checks.violations(dangling(metrics, "category_id", categories, "id"), "metrics without a category"),
+        checks.violations(dangling(metrics, "source_id", sources, "id"), "metrics without a source"),
+    )
+    places = categories.select(F.col("id").alias("category_id"), F.col("ordinal").alias("_place")).distinct()
+    return metrics.join(places, "category_id").orderBy("_place", "category_id", "ordinal", "id").drop("_place")

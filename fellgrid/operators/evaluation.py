@@ -54,3 +54,10 @@ def spread(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     v = F.col(value)
     aggregates = [F.count(v).alias("n"), F.sum(v).alias("total"), F.median(v).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"), F.percentile(v, F.lit(0.99)).alias("p99"), F.max(v).alias("max")]
     return rows.groupBy(*keys).agg(*aggregates)
+
+
+def match_statistics(matched: DataFrame, trunk: DataFrame) -> DataFrame:
+    """One row on matches (edge_id, length_m, distance, candidates) of trunk links (edge_id): counts, length, distances, and how many links have how many candidates."""
+    of_match = matched.agg(F.count("*").alias("matched_edges"), (F.coalesce(F.sum("length_m"), F.lit(0)) / 1000.0).alias("matched_length_km"), F.median("distance").alias("median_match_distance_m"), F.percentile("distance", F.lit(0.95)).alias("p95_match_distance_m"))
+    counts = matched.groupBy("candidates").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("candidates").cast("string"), "n")))).alias("candidate_speed_count"))
+    return of_match.crossJoin(F.broadcast(trunk.agg(F.count("*").alias("trunk_edges")))).crossJoin(F.broadcast(counts))  # one row each

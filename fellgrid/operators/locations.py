@@ -13,21 +13,15 @@ from pyspark.sql.window import Window
 MOST, NAME_LENGTH, NOTES_LENGTH, ID_LENGTH = 1000, 200, 20_000, 200
 FORMAT, VERSION = "saved-locations", 1
 
-_SPACE = re.compile(r"[^\S \t\r\n]|﻿")
+#: A string, whole (or up to the end of the text), or a white space character that JSON doesn't know.
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[^\S \t\r\n]|\ufeff', re.DOTALL)
 
 
 def repair_json(text: str) -> tuple[str, int]:
     """(text with unusual white space outside strings as plain spaces, how many there were)."""
-    out, count, quoted, escaped = [], 0, False, False
-    for c in text:
-        if quoted:
-            quoted, escaped = (True, False) if escaped else (c != '"', c == "\\")
-        elif c == '"':
-            quoted = True
-        elif _SPACE.fullmatch(c):
-            c, count = " ", count + 1
-        out.append(c)
-    return "".join(out), count
+    odd = [m for m in _PIECE.finditer(text) if not m[0].startswith('"')]
+    places = [-1, *(m.start() for m in odd), len(text)]
+    return " ".join(text[a + 1 : b] for a, b in zip(places, places[1:])), len(odd)
 
 
 def parse_json(text: str) -> tuple[object, int]:

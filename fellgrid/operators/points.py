@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import bucket_key
 from ..functions.rounding import half_even
 from ..functions.text import compact_upper, match_key
+from ..shared import table
 
 #: Categories in order, and the OSM tags that stand for them.
 CATEGORIES = ["supermarket", "convenience", "post_office", "pharmacy", "gp", "dentist", "hospital_general", "hospital_community"]
@@ -64,15 +65,20 @@ def deduplicate(pois: DataFrame) -> DataFrame:
     """The places kept of (category, name, lat, lon, source_rank, source_ref), in order of rank, category, reference.
 
     A place goes if one that was kept before it, of its category and name key, stands within 25 m in one of the
-    3 x 3 cells around it.  That depends on order, so each group runs in turn.  Groups are first split into
-    clusters of neighbouring cells, which can't affect one another; a frequent name is no large group then.
+    3 x 3 cells around it.  That depends on order, so each group runs in turn.  Groups are first split at gaps between
+    cells, along latitude and longitude in turn, into clusters that can't affect one another; a frequent name is no large group then.
+    Places without a name are known by their reference; those without a position are kept as they are.
     """
-    keyed = pois.withColumn("_key", match_key(F.col("name"), F.col("source_ref"))).withColumn("_y", F.floor(F.col("lat") / CELL_DEGREES)).withColumn("_x", F.floor(F.col("lon") / CELL_DEGREES))
+    key = F.coalesce(match_key(F.col("name"), F.col("source_ref")), F.concat(F.lit("ref:"), F.coalesce("source_ref", F.lit(""))))
+    placeless = F.col("lat").isNull() | F.col("lon").isNull() | F.isnan("lat") | F.isnan("lon")
+    lost = pois.filter(placeless)
+    keyed = pois.filter(~placeless).withColumn("_key", F.concat_ws("\x1f", key, F.col("category").isNull().cast("string"))).withColumn("_y", F.floor(F.col("lat") / CELL_DEGREES)).withColumn("_x", F.floor(F.col("lon") / CELL_DEGREES))
+    keyed = keyed.withColumn("_cat", F.coalesce("category", F.lit("")))
     # alone in its 3 x 3 block: kept as it is
-    counted = keyed.groupBy("category", "_key", "_y", "_x").agg(F.count("*").alias("n"))
-    around = counted.select("category", "_key", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)).alias("_y"), "_x", "n").select("category", "_key", "_y", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1)).alias("_x"), "n")
-    crowd = around.groupBy("category", "_key", "_y", "_x").agg(F.sum("n").alias("_n"))
-    placed = keyed.join(crowd, ["category", "_key", "_y", "_x"])
+    counted = keyed.groupBy("_cat", "_key", "_y", "_x").agg(F.count("*").alias("n"))
+    around = counted.select("_cat", "_key", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)).alias("_y"), "_x", "n").select("_cat", "_key", "_y", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1)).alias("_x"), "n")
+    crowd = around.groupBy("_cat", "_key", "_y", "_x").agg(F.sum("n").alias("_n"))
+    placed = keyed.join(crowd, ["_cat", "_key", "_y", "_x"])
     schema = pois.schema
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
@@ -86,12 +92,16 @@ def deduplicate(pois: DataFrame) -> DataFrame:
                 out.append(i)
         return group.iloc[out][schema.names]
 
-    # strips of cells far enough apart that no chain crosses: a name's cells along latitude, cut at gaps
-    order = Window.partitionBy("category", "_key").orderBy("_y")
-    rows = placed.filter("_n > 1").select("category", "_key", "_y").distinct().withColumn("new", F.coalesce((F.col("_y") - F.lag("_y").over(order) > 1).cast("int"), F.lit(1)))
-    strips = rows.withColumn("_s", F.sum("new").over(order)).drop("new")
-    crowded = placed.filter("_n > 1").join(strips, ["category", "_key", "_y"])
-    return placed.filter("_n = 1").select(schema.names).unionByName(crowded.groupBy("category", "_key", "_s").applyInPandas(keep, schema))
+    # clusters of cells far enough apart that no chain crosses: cut at gaps along one axis, each part along the other, and once more
+    cells = table(placed.filter("_n > 1").select("_cat", "_key", "_y", "_x").distinct(), "cells")
+    group = ["_cat", "_key"]
+    for n, axis in enumerate(("_y", "_x", "_y")):
+        order = Window.partitionBy(*group).orderBy(axis)
+        lines = cells.select(*group, axis).distinct().withColumn("_new", F.coalesce((F.col(axis) - F.lag(axis).over(order) > 1).cast("int"), F.lit(1)))
+        cells = table(cells.join(lines.withColumn(f"_s{n}", F.sum("_new").over(order)).drop("_new"), [*group, axis]), "cells")
+        group = [*group, f"_s{n}"]
+    crowded = placed.filter("_n > 1").join(cells, ["_cat", "_key", "_y", "_x"])
+    return placed.filter("_n = 1").select(schema.names).unionByName(crowded.groupBy(*group).applyInPandas(keep, schema)).unionByName(lost)
 
 
 def bucketed(pois: DataFrame, per_degree: int = 4) -> DataFrame:

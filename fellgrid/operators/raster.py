@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.encode import quantise
-from ..functions.geo import Grid
+from ..functions.geo import Grid, from_national_grid, to_national_grid
 from ..functions.rounding import parent_half_up
 
 
@@ -88,3 +88,40 @@ def corner_index(level_step: int, width: int, height: int, row_edge: Column, col
     """Index of a level's corner among the base grid's corners."""
     row, col = F.least(F.lit(height), row_edge * level_step), F.least(F.lit(width), col_edge * level_step)
     return (row * (width + 1) + col).cast("long")
+
+
+def view_windows(views: DataFrame, envelope: dict[str, float], level: dict, grid: Grid, margin: int = 1) -> DataFrame:
+    """(view_id, row_min, row_max, col_min, col_max) of views (view_id, south, north, west, east) in degrees, clamped to a level's cells.
+
+    A view is cut to the grid's ``envelope``; eight places on its edge are projected, and their bounds widened by ``margin`` cells.
+    ``level``: width, height, cell_size_m.  Views beyond the envelope or the level have no row.
+    """
+    lit = lambda k: F.lit(float(envelope[k]))
+    cut = views.select("view_id", F.greatest("south", lit("south")).alias("s"), F.least("north", lit("north")).alias("n"), F.greatest("west", lit("west")).alias("w"), F.least("east", lit("east")).alias("e")).filter("s <= n and w <= e")
+    half = lambda a, b: (F.col(a) + F.col(b)) / 2
+    lats, lons = [F.col("s"), half("s", "n"), F.col("n")], [F.col("w"), half("w", "e"), F.col("e")]
+    places = F.array(*(to_national_grid(lat, lon) for i, lat in enumerate(lats) for j, lon in enumerate(lons) if (i, j) != (1, 1)))
+    size = float(level["cell_size_m"])
+    xs, ys = F.transform("p", lambda p: p["easting"]), F.transform("p", lambda p: p["northing"])
+    at = lambda v, base: F.floor((v - float(base)) / size).cast("long")
+    raw = cut.withColumn("p", places).select("view_id", at(F.array_min(ys), grid.south).alias("r0"), at(F.array_max(ys), grid.south).alias("r1"), at(F.array_min(xs), grid.west).alias("c0"), at(F.array_max(xs), grid.west).alias("c1"))
+    seen = raw.filter((F.col("c1") >= 0) & (F.col("r1") >= 0) & (F.col("c0") < level["width"]) & (F.col("r0") < level["height"]))
+    low, high = lambda c: F.greatest(F.lit(0), F.col(c) - margin), lambda c, n: F.least(F.lit(n - 1), F.col(c) + margin)
+    return seen.select("view_id", low("r0").alias("row_min"), high("r1", level["height"]).alias("row_max"), low("c0").alias("col_min"), high("c1", level["width"]).alias("col_max"))
+
+
+def grid_corners(spark: SparkSession, grid: Grid) -> DataFrame:
+    """(corner, lat, lon): south-west, south-east, north-east and north-west in degrees, to seven places."""
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(((grid.west, grid.south), (grid.east, grid.south), (grid.east, grid.north), (grid.west, grid.north)))]
+    places = spark.createDataFrame(rows, "corner int, x double, y double").withColumn("p", from_national_grid(F.col("x"), F.col("y")))
+    return places.select("corner", F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"))
+
+
+def grid_of_axes(x: DataFrame, y: DataFrame, column: str = "value") -> Grid:
+    """The grid whose cells' centres are the coordinates of two axes; an error unless both rise in the same equal steps."""
+    ends = [(axis_step(a, column).first(), a.agg(F.min(column).alias("a"), F.countDistinct(column).alias("n")).first()) for a in (x, y)]
+    (sx, ex), (sy, ey) = ends
+    if not (sx["regular"] and sy["regular"]) or abs(sx["step"] - sy["step"]) > 1e-6 * sx["step"]:
+        raise ValueError("the axes are no regular grid")
+    step = float(sx["step"])
+    return Grid(width=int(ex["n"]), height=int(ey["n"]), cell_size_m=step, west=float(ex["a"]) - step / 2, south=float(ey["a"]) - step / 2)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import checks
+
 
 def hot(value: Column, threshold: float, below: bool = False) -> Column:
     """Strictly above (or below) a threshold; false for no data."""
@@ -90,7 +92,10 @@ def contiguous_months(cube: DataFrame, year: int) -> DataFrame:
 
 
 def incomplete_cells(cube: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """(cell, y, month, days, expected): months in which a cell lacks days; ``mask`` (cell) names cells that count."""
+    """(cell, y, month, days, expected): months in which a cell lacks days, though it has some; ``mask`` (cell) names cells that count.
+
+    Months of which a cell has no row at all are in ``absent_months``.
+    """
     if mask is not None:
         cube = cube.join(mask, "cell", "left_semi")
     months = cube.groupBy("cell", F.year("day").alias("y"), F.month("day").alias("month")).agg(F.count(F.when(F.col("value").isNotNull(), F.lit(1))).alias("days"), F.max(F.day(F.last_day("day"))).alias("expected"))
@@ -111,3 +116,24 @@ def exclude_cells(cube: DataFrame, cells: DataFrame) -> DataFrame:
 def unknown_exclusions(cube: DataFrame, cells: DataFrame) -> DataFrame:
     """Listed cells that the cube doesn't have; pruning calls for none."""
     return cells.select("cell").distinct().join(cube.select("cell").distinct(), "cell", "left_anti")
+
+
+def absent_months(cube: DataFrame, mask: DataFrame) -> DataFrame:
+    """(cell, y, month) of the mask's cells for months that the cube has, of which a cell has no row.  A cell meets the list of all months, at most twelve a year."""
+    seen = cube.select("cell", F.struct(F.year("day").alias("y"), F.month("day").alias("month")).alias("ym")).distinct()
+    every = seen.agg(F.collect_set("ym").alias("every"))  # one row
+    of_cell = mask.select("cell").distinct().join(seen.groupBy("cell").agg(F.collect_set("ym").alias("own")), "cell", "left")
+    lacking = of_cell.crossJoin(F.broadcast(every)).select("cell", F.explode(F.array_except("every", F.coalesce("own", F.array_except("every", "every")))).alias("ym"))
+    return lacking.select("cell", "ym.y", "ym.month")
+
+
+def prune(cube: DataFrame, cells: DataFrame) -> DataFrame:
+    """The cube without listed cells; an error if it doesn't have one of them."""
+    checks.require(checks.violations(unknown_exclusions(cube, cells), "listed cells that the cube lacks"))
+    return exclude_cells(cube, cells)
+
+
+def land_mask(cube: DataFrame) -> DataFrame:
+    """(cell) of the cells that have a value on the cube's first day."""
+    first = cube.agg(F.min("day").alias("day"))
+    return cube.join(F.broadcast(first), "day", "left_semi").filter(F.col("value").isNotNull() & ~F.isnan("value")).select("cell").distinct()

@@ -88,3 +88,26 @@ def verify_blobs(blobs: DataFrame, expected: DataFrame) -> DataFrame:
     met = expected.join(seen, "name", "left")
     problem = F.when(F.col("path").isNull(), "missing").when(F.col("n") != F.col("size"), "size").when(F.col("h") != F.col("sha256"), "hash")
     return met.select(F.coalesce("path", "name").alias("path"), problem.alias("problem")).filter("problem is not null")
+
+
+def publish(spark: SparkSession, folder: str, expected: DataFrame, target: str) -> DataFrame:
+    """Copy a bundle's files (name, size, sha256) to ``target`` once all are sound, and delete what else lies there; returns (name) of those deleted.
+
+    Files are copied by the file system's own copy on the driver, one for each name in the manifest.
+    """
+    from ..operators.bundle import stale_files
+    from ..operators.checks import bare_name, require, violations
+
+    blobs = spark.read.format("binaryFile").load(folder)
+    require(violations(expected, "names with folders", ~bare_name(F.col("name"))), violations(verify_blobs(blobs, expected), "blobs that are missing or altered"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    system = at(target).getFileSystem(conf)
+    system.mkdirs(at(target))
+    for name in [r["name"] for r in expected.select("name").distinct().collect()]:  # a manifest's files
+        jvm.org.apache.hadoop.fs.FileUtil.copy(at(folder).getFileSystem(conf), at(folder, name), system, at(target, name), False, True, conf)
+    there = spark.createDataFrame([(s.getPath().getName(),) for s in system.listStatus(at(target))], "name string")
+    gone = [r["name"] for r in stale_files(there, expected).collect()]
+    for name in gone:
+        system.delete(at(target, name), False)
+    return spark.createDataFrame([(n,) for n in gone], "name string")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Grid, cell_column, cell_id, cell_row, centre_easting, centre_northing, from_national_grid, inside
 from ..functions.text import finite_number, first_name, header_place, literal_map
+from ..operators.checks import require, violations
 from ..operators.points import HOSPITAL_GROUPS, HOSPITAL_TYPES, UNNAMED, explode_categories
 
 #: The name of a daily cube's file; where a header may stand; the bounds of places.
 CUBE_NAME = r"^(tasmax|tasmin)_hadukgrid_uk_1km_day_(\d{8})-(\d{8})\.nc$"
 HEADER_LINES = 32
+TEMPERATURE_UNITS = ["degc", "degree_celsius", "degrees_celsius", "c", "°c", "celsius", "k", "kelvin"]
 BOUNDS = {"west": -10.0, "east": 4.0, "south": 49.0, "north": 62.0}
 
 
@@ -33,6 +35,39 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select("path", F.col("length").alias("size"))
 
 
+def discover_months(historical: DataFrame, provisional: DataFrame | None = None, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """(path, variable, year, month, days, status) of the cube files of both catalogues (path) in order; two files for one month are an error."""
+    found = source_months(historical, first_year, last_year).withColumn("status", F.lit("historical"))
+    if provisional is not None:
+        found = found.unionByName(source_months(provisional, first_year, last_year).withColumn("status", F.lit("provisional")))
+    require(violations(repeated_months(found), "months with more than one file"))
+    return found.orderBy("variable", "year", "month")
+
+
+def cube_problems(cubes: DataFrame, months: DataFrame, grid: Grid) -> DataFrame:
+    """(path, problem) of cubes (path, t, height, width, units, west, south, step) that don't fit their month's days, the grid or a temperature's units."""
+    units = F.trim(F.lower(F.coalesce("units", F.lit(""))))
+    spot = (F.col("west") != float(grid.west)) | (F.col("south") != float(grid.south)) | (F.col("step") != float(grid.cell_size_m))
+    problem = F.when((F.col("height") != grid.height) | (F.col("width") != grid.width), "shape").when(F.col("t") != F.col("days"), "days").when(~units.isin(*TEMPERATURE_UNITS), "units").when(spot, "grid")
+    return cubes.join(months.select("path", "days"), "path").select("path", problem.alias("problem")).filter("problem is not null")
+
+
+def load_discovery(spark: SparkSession, path: str) -> dict:
+    """The description of downloaded sources (JSON), read through Spark, wherever it lies."""
+    import json
+
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def source_path(discovery: dict, name: str, root: str) -> str:
+    """Where a described source's file lies below ``root``; an error if it isn't described or its name leaves the folder."""
+    described = {s.get("name"): s for s in discovery.get("sources", [])}
+    file = described.get(name, {}).get("file")
+    if not file or file.startswith("/") or ".." in file.split("/"):
+        raise ValueError(f"no file for source {name!r}")
+    return f"{root.rstrip('/')}/{file}"
+
+
 def repeated_months(months: DataFrame) -> DataFrame:
     return months.groupBy("variable", "year", "month").agg(F.count("*").alias("n")).filter("n > 1")
 

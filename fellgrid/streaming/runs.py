@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import datetime as dt
 import uuid
 from collections.abc import Iterator
 
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import work_dir
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fellgrid")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def arriving(spark: SparkSession, path: str) -> DataFrame:
@@ -29,25 +30,28 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
 def run_state(days: DataFrame, threshold: float) -> DataFrame:
     """(cell, longest) whenever a cell's state changes, from a stream of (cell, day, value).
 
-    Files come in order of days, as months do; the state is the last hot day, the current run and the longest.
-    Rows of one day may come in several batches.  A new year starts a new run.
+    The state is the cell's runs as intervals of days, so days may come in any order and more than once; a day that
+    closes the gap between two runs makes them one.  A run ends with its year.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, run, best = state.get if state.exists else (None, 0, 0)
+        first, last = (list(x) for x in state.get) if state.exists else ([], [])
         hot: set = set()
         for b in batches:
             hot.update(pd.to_datetime(b.loc[b["value"] > threshold, "day"]).dt.date)
-        for day in sorted(hot):
-            number = day.toordinal()
-            if last is not None and number <= last:
-                continue
-            run = run + 1 if last is not None and number == last + 1 and day.timetuple().tm_yday > 1 else 1
-            last, best = number, max(best, run)
-        state.update((last, run, best))
-        yield pd.DataFrame({"cell": [key[0]], "longest": [best]})
-
-    return days.groupBy("cell").applyInPandasWithState(update, "cell long, longest long", "last int, run int, best int", "update", GroupStateTimeout.NoTimeout)
+        runs = sorted([*zip(first, last), *((d.toordinal(), d.toordinal()) for d in hot)])
+        merged: list[list[int]] = []
+        for a, z in runs:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], z)
+            elif merged and a == merged[-1][1] + 1 and dt.date.fromordinal(a).timetuple().tm_yday > 1:
+                merged[-1][1] = z
+            else:
+                merged.append([a, z])
+        state.update(([a for a, _ in merged], [z for _, z in merged]))
+        yield pd.DataFrame({"cell": [key[0]], "longest": [max((z - a + 1 for a, z in merged), default=0)]})
+
+    return days.groupBy("cell").applyInPandasWithState(update, "cell long, longest long", "first array<int>, last array<int>", "update", GroupStateTimeout.NoTimeout)
 
 
 def longest_runs_stream(spark: SparkSession, path: str, threshold: float) -> DataFrame:

@@ -48,7 +48,10 @@ def test_text(spark):
     assert [one(spark, text.human_bytes(F.col("v")), v=v) for v in (0, 1023, 1024, 5 * 1024**4)] == ["0.00 B", "1023.00 B", "1.00 KiB", "5.00 TiB"]
     assert one(spark, text.osm_url(F.col("v")), v="w/12") == "https://www.openstreetmap.org/way/12" and one(spark, text.osm_url(F.col("v")), v="x/1") is None
     assert one(spark, text.directions_url(F.lit("a b/é"), F.lit("York"))).startswith("https://www.google.com/maps/dir/a%20b%2F%C3%A9/York/")
-    assert one(spark, text.year_list(F.col("v")), v="2024, 2022,,2024") == [2022, 2024]
+    assert one(spark, text.year_list(F.col("v")), v="2022, 2024,") == [2022, 2024] and one(spark, text.year_list(F.col("v")), v="2022") == [2022]
+    for wrong in ("2024, 2022", "2022,2022", "", "x"):
+        with pytest.raises(Exception):
+            one(spark, text.year_list(F.col("v")), v=wrong)
     assert one(spark, text.finite_number(F.col("v")), v="Infinity") is None and one(spark, text.finite_number(F.col("v")), v="1.5") == 1.5
     assert one(spark, text.header_place(F.array(F.lit("A"), F.lit("Urban roads (x)")), "urban")) == 1
 
