@@ -10,8 +10,9 @@ first ``every`` positions, of which at least ``least - every + 1`` words follow
    that any other suffix of its group shares with it to the right; sorted by what stands before them, the neighbours there give the
    most to the left.  Matches are extended to both sides word by word; those of ``least`` words or more are repeated passages.
 3. No passage around a suffix reaches beyond its most words to the left and right.  Where these make ``least`` words
-   and the neighbours' matches don't reach as far, another suffix may share more on both sides at once.  All suffixes of
-   such a group are then compared by the hashes of every window of ``least`` words that begins up to ``every - 1`` words before them, which leaves nothing out.
+   and the neighbours' matches don't reach as far, another suffix may share more on both sides at once.  The windows of ``least`` words
+   in question (they begin up to ``every - 1`` words before the suffix, and no found match has them) are then
+   looked up by their hashes among those of all suffixes of the group, which leaves nothing out.
 4. Overlapping passages of one document become spans.
 
 The sort is by ranges of (first words, rest), not by key, so a passage that a third of all documents share is
@@ -214,8 +215,11 @@ def _union(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[first], np.maximum.reduceat(stop, first) if len(first) else stop
 
 
-def _resolve(reached: DataFrame, least: int) -> DataFrame:
-    """(row, start, stop, head) of the matches, as spans of each row, head null; and of suffixes whose neighbours don't tell all, head set."""
+def _resolve(reached: DataFrame, least: int, every: int) -> DataFrame:
+    """(row, start, stop, head, need) of the matches, as spans of each row, head null; and of suffixes whose neighbours don't tell all.
+
+    Those have their head, start = stop = the suffix's place, and bit o of need set for each window that begins o words before it and is in question.
+    """
 
     def work(row: int, columns: list[np.ndarray]) -> tuple:
         side, pos, head, most, back, ahead = columns
@@ -228,36 +232,45 @@ def _resolve(reached: DataFrame, least: int) -> DataFrame:
         right, left, back, ahead = top
         found = back >= 0
         start, stop = _union(at[found] - back[found], at[found] + ahead[found])
-        open_ = (left + right >= least) & ((back < left) | (ahead < right))
-        return [row] * (len(start) + open_.sum()), np.r_[start, at[open_]], np.r_[stop, at[open_]], [None] * len(start) + heads[open_].tolist()
+        o = np.arange(every)
+        asked = (o <= left[:, None]) & (least - o <= right[:, None]) & ~((o <= back[:, None]) & (least - o <= ahead[:, None]))
+        need = (asked.astype(np.int64) << o).sum(1)
+        open_ = need != 0
+        n, m = len(start), int(open_.sum())
+        return [row] * (n + m), np.r_[start, at[open_]], np.r_[stop, at[open_]], [None] * n + heads[open_].tolist(), [None] * n + need[open_].tolist()
+
+    return reached.select("row", "side", "pos", "head", "most", "back", "ahead").repartition("row").sortWithinPartitions("row").mapInArrow(lambda batches: _records(_by_row(batches, work)), _SPANS)
+
 
-    return reached.select("row", "side", "pos", "head", "most", "back", "ahead").repartition("row").sortWithinPartitions("row").mapInArrow(lambda batches: _records(_by_row(batches, work)), "row long, start long, stop long, head long")
+_SPANS = "row long, start long, stop long, head long, need long"
 
 
 def _records(parts: Iterator[tuple], most: int = 10_000) -> Iterator[pa.RecordBatch]:
-    held = [[], [], [], []]
+    names = [c.split()[0] for c in _SPANS.split(", ")]
+    held: list[list] = [[] for _ in names]
     for part in parts:
         for a, b in zip(held, part):
             a.extend(b)
         if len(held[0]) > most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], ["row", "start", "stop", "head"])
-            held = [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], ["row", "start", "stop", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
+            held = [[] for _ in names]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held], names)
 
 
 def _windows(suffixes: DataFrame, every: int, least: int) -> DataFrame:
-    """(head, o, h, row, start): the windows of ``least`` words that begin ``o`` = 0 to ``every`` - 1 words before each suffix."""
+    """(head, o, h, row, start, asked): the windows of ``least`` words of suffixes (…, need, own), for the bits o of need; asked: those of own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for head, row, pos, left, right in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for head, row, pos, left, right, need, own in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 for o in range(max(0, least - len(right) // _WORD), min(every, len(left) // _WORD + 1)):
-                    h = xxhash.xxh3_64_intdigest(left[: o * _WORD] + b"|" + right[: (least - o) * _WORD])
-                    out.append((head, o, h - (1 << 64) if h >> 63 else h, row, pos - o))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 5)], ["head", "o", "h", "row", "start"])
+                    if need >> o & 1:
+                        h = xxhash.xxh3_64_intdigest(left[: o * _WORD] + b"|" + right[: (least - o) * _WORD])
+                        out.append((head, o, h - (1 << 64) if h >> 63 else h, row, pos - o, own >> o & 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 6)], ["head", "o", "h", "row", "start", "asked"])
 
-    return suffixes.select("head", "row", "pos", "left", "right").mapInArrow(run, "head long, o long, h long, row long, start long")
+    return suffixes.select("head", "row", "pos", "left", "right", "need", "own").mapInArrow(run, "head long, o long, h long, row long, start long, asked long")
 
 
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 8, every: int = 32) -> DataFrame:
@@ -268,6 +281,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     Rows that repeat a text are copies of each other, whole; rows that share a key each bring the spans of their text under it.  Extra
     columns are ignored; an empty table gives an empty result.
     """
+    if every > 62:
+        raise ValueError("suffixes at most 62 words apart")
     docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     found = cut(_suffixes(docs, text="text", gram=gram, every=every, least=least).filter(F.col("n") >= least), "suffixes")
     # equal texts: one goes on, all are repeated from start to end
@@ -277,19 +292,22 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     rows = cut(alone.select("id", "row", F.explode(F.arrays_zip("pos", "heads")).alias("x")).select("id", "row", F.col("x.pos").alias("pos"), F.col("x.heads").alias("head")), "rows")
     often = cut(rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head"), "often")  # a table, so that the join can split frequent heads
     suffixes = cut(_contexts(docs, rows.join(often, "head", "left_semi"), text="text", every=every, least=least), "contexts")
-    spans = cut(_resolve(_reach(suffixes, 0, every, least).unionByName(_reach(suffixes, 1, every, least)), least), "spans")
+    spans = cut(_resolve(_reach(suffixes, 0, every, least).unionByName(_reach(suffixes, 1, every, least)), least, every), "spans")
     matches = spans.filter("head is null").select("row", "start", "stop")
-    hard = cut(spans.filter("head is not null").select("head").distinct(), "hard")
+    asking = spans.filter("head is not null")
+    hard = cut(asking.groupBy("head").agg(F.bit_or("need").alias("need")), "hard")
     if hard.limit(1).count():
-        windows = cut(_windows(suffixes.join(hard, "head", "left_semi"), every, least), "windows")
-        again = cut(windows.groupBy("head", "o", "h").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "again")
-        more = windows.join(again, ["head", "o", "h"], "left_semi").select("row", "start", (F.col("start") + least).alias("stop"))
+        own = asking.select("head", "row", F.col("start").alias("pos"), F.col("need").alias("own"))
+        members = suffixes.join(hard, "head").join(own, ["head", "row", "pos"], "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+        windows = cut(_windows(members, every, least), "windows")
+        again = windows.groupBy("head", "o", "h").agg(F.count("*").alias("c"), F.max("asked").alias("asked")).filter("c > 1 and asked = 1").select("head", "o", "h")
+        more = windows.filter("asked = 1").join(again, ["head", "o", "h"], "left_semi").select("row", "start", (F.col("start") + least).alias("stop"))
 
         def work(row: int, columns: list[np.ndarray]) -> tuple:
             start, stop = _union(*columns)
-            return [row] * len(start), start, stop, [None] * len(start)
+            return [row] * len(start), start, stop, [None] * len(start), [None] * len(start)
 
         both = matches.unionByName(more).repartition("row").sortWithinPartitions("row")
-        matches = both.mapInArrow(lambda batches: _records(_by_row(batches, work)), "row long, start long, stop long, head long").select("row", "start", "stop")
+        matches = both.mapInArrow(lambda batches: _records(_by_row(batches, work)), _SPANS).select("row", "start", "stop")
     named = matches.join(classes.filter("rows = 1").select("id", "row"), "row").select("id", "start", "stop")
     return named.unionByName(copies).select(F.col("id").alias(key), "start", "stop", (F.col("stop") - F.col("start")).alias("n_words")).distinct()
