@@ -1,10 +1,12 @@
 """Benchmark decontamination by canonical templates.
 
 A text becomes a sequence of template words: numbers turn into ``<num>``, a unit after a number into
-``<unit>``, a capitalised word into ``<name>``; the others are lower-cased and lose the punctuation around
-them.  A capitalised word that begins a sentence or a line may be a name or not: windows are made with
-both readings, in texts and items, so that a passage meets its copy whatever stands before it.  An item's first word is also
-read as a unit if it can be one.  Question words, articles and the like are no names anywhere.  Windows of template words are hash-joined with those of the benchmark items, so a
+``<unit>``, a name into ``<name>``; the others are lower-cased and lose the punctuation around
+them.  Names are capitalised words, also with capitals inside (McLean), and short words of capitals alone (USA); names that follow one
+another without punctuation are one (New York), its value all its words.  A capitalised word that begins a sentence or a line, and a
+word of capitals, may be a name or not: windows are made with
+both readings, in texts and items, so that a passage meets its copy whatever stands before it; the first word of a sentence is not
+joined with names after it.  An item's first word is also read as a unit if it can be one.  Question words, articles and the like are no names anywhere.  Windows of template words are hash-joined with those of the benchmark items, so a
 question with other numbers or names still meets its item.  Along one alignment the slots must agree: equal
 values of the item must stand for equal values in the document, else it isn't the same question re-parameterised.
 
@@ -40,13 +42,13 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?")
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-z%/]+)")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_PLAIN, _NUM, _NAME = 0, 1, 2
+_PLAIN, _NUM, _NAME, _CAPITALS = 0, 1, 2, 3
 _UNITS, _NUMBER_WORDS, _STARTERS = set(UNITS), set(NUMBER_WORDS), set(STARTERS)
 _LINE = b" \x1e "  # stands for a line break: a word of punctuation alone that ends a sentence
 
 
 class Template(dict):
-    """word -> number of its entry; entries hold hash, kind (plain, number, capitalised), unit and sentence end."""
+    """word -> number of its entry; entries hold hash, kind (plain, number, name, short word of capitals), unit, sentence end and punctuation after it."""
 
     def __init__(self, most: int = 150_000):
         self.most = most
@@ -54,7 +56,8 @@ class Template(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.used, self.hash, self.kind, self.unit, self.stop, self.value = 0, np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int8), np.zeros(1 << 14, bool), np.zeros(1 << 14, bool), []
+        self.used, self.hash, self.kind, self.value = 0, np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int8), []
+        self.unit, self.stop, self.open = (np.zeros(1 << 14, bool) for _ in range(3))
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
@@ -64,23 +67,26 @@ class Template(dict):
         glued = _GLUED.fullmatch(low)
         if low in _NUMBER_WORDS or _NUMBER.fullmatch(bare) or (glued and glued[2] in _UNITS):
             kind = _NUM
-        elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and low not in _STARTERS:
-            kind = _NAME
+        elif len(bare) > 1 and bare[0].isupper() and low not in _STARTERS:
+            if bare[-1].islower():
+                kind = _NAME
+            elif len(bare) <= 5 and bare.isupper() and bare.isalpha():
+                kind = _CAPITALS
         if self.used == len(self.hash):
-            self.hash, self.kind, self.unit, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.unit, self.stop))
+            self.hash, self.kind, self.unit, self.stop, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.unit, self.stop, self.open))
         n = self.used
         # a word of punctuation alone is no template word: hash 0
         self.hash[n] = xxhash.xxh3_64_intdigest(low.encode()) | 1 if low else 0
-        self.kind[n], self.unit[n], self.stop[n] = kind, low in _UNITS, word[-1:] in ".!?:\x1e"
+        self.kind[n], self.unit[n], self.stop[n], self.open[n] = kind, low in _UNITS, word[-1:] in ".!?:\x1e", word.endswith(bare)
         self.value.append(low)
         self.used += 1
         self[raw] = n
         return n
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, entry, hash, is a slot, may be literal, may be a unit) for each template word of the texts.
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(text number, hash, value hash, is a slot, may be literal, may be a unit, first entry, entries) of each template word of the texts, and all entries.
 
-        A name that begins a sentence or a line may be literal instead; a text's first word may be a unit.
+        A name that begins a sentence or a line may be literal instead, as may a word of capitals; a text's first word may be a unit.
         """
         if len(self) > self.most:
             self.reset()
@@ -93,14 +99,27 @@ class Template(dict):
         # a word of punctuation alone doesn't take the beginning from the word after it
         behind = np.flatnonzero(real)
         runs = np.maximum.reduceat(begins, np.r_[0, behind[:-1] + 1]) if len(behind) else begins[:0]
+        apart = np.r_[True, np.diff(behind) > 1] if len(behind) else real[:0]  # punctuation alone stands before it
         doc, entry, begins = doc[real], entry[real], runs
         kind, code = self.kind[entry], self.hash[entry].copy()
-        num, name = kind == _NUM, kind == _NAME
+        num, name = kind == _NUM, (kind == _NAME) | (kind == _CAPITALS)
         inner = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else num
         after = inner & np.r_[False, num[:-1]] if len(doc) else num
         unit = after & self.unit[entry] & ~num
+        name &= ~unit
+        literal = name & (begins | (kind == _CAPITALS))
         code[num], code[name], code[unit] = 3, 5, 7
-        return doc, entry, code, num | name | unit, name & begins & ~unit, ~inner & self.unit[entry] & ~num
+        first_unit = ~inner & self.unit[entry] & ~num
+        # names one after the other become one
+        sure = name & ~literal
+        more = np.r_[False, sure[1:] & sure[:-1] & inner[1:] & ~apart[1:] & self.open[entry[:-1]]] if len(doc) else num
+        head = np.flatnonzero(~more)
+        many = np.diff(np.r_[head, len(doc)])
+        value = self.hash[entry][head]
+        for k in np.flatnonzero(many > 1):
+            for e in entry[head[k] + 1 : head[k] + many[k]]:
+                value[k] = (int(value[k]) * int(_STEP) + int(self.hash[e])) & 0xFFFFFFFFFFFFFFFF
+        return doc[head], code[head], value, (num | name | unit)[head], literal[head], first_unit[head], head, many, entry
 
 
 def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int, other: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +150,7 @@ def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, value: np.ndar
                 bit = np.int64(1 << i)
                 start, h = np.r_[start, start[turned]], np.r_[h, changed]
                 slots = np.r_[slots, slots[turned] | bit if becomes else slots[turned] & ~bit]
-            weight = weight * _STEP
+            weight = np.uint64(int(weight) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
     literal = size - np.bitwise_count(slots).astype(np.int64)
     good = literal >= min(2, max(1, size - 1))
     # what one side's reading lets be a template can be dense on the other: by value wherever the first reading or another is too dense
@@ -159,14 +178,14 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
         bitmap = held.value if held is not None else None
         for batch in slices(batches, "text", 2 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, entry, code, slot, literal, unit = made.of(byte_rows(batch.column(1)))
-            other = [(literal, made.hash[entry], False)] + ([(unit, np.full(len(code), 7, np.uint64), True)] if sizes is None else [])
+            doc, code, value, slot, literal, unit, head, many, entry = made.of(byte_rows(batch.column(1)))
+            other = [(literal, value, False)] + ([(unit, np.full(len(code), 7, np.uint64), True)] if sizes is None else [])
             first = np.searchsorted(doc, np.arange(len(ids) + 1))
             length = np.diff(first)
             out: list[tuple] = []
             usable = np.zeros(len(ids), np.int64)
             for n in sizes or range(1, size + 1):
-                start, h, slots_of, exact = _windows(doc, code, slot, made.hash[entry], n, other)
+                start, h, slots_of, exact = _windows(doc, code, slot, value, n, other)
                 if sizes is None:
                     here = np.flatnonzero(length[doc[start]] == n if n < size else length[doc[start]] >= n)
                     usable += np.bincount(doc[np.unique(start[here][~exact[here]])], minlength=len(ids))
@@ -176,7 +195,7 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
                 for i in here:
                     s = start[i]
                     d = doc[s]
-                    values = [made.value[entry[s + j]] for j in range(n) if slots_of[i] >> j & 1]
+                    values = [" ".join(made.value[e] for e in entry[head[s + j] : head[s + j] + many[s + j]]) for j in range(n) if slots_of[i] >> j & 1]
                     total = max(1, int(length[d]) - size + 1)
                     out.append((int(ids[d]), total, int(usable[d]), int(s - first[d]), bool(exact[i]), int(h[i].view(np.int64)), values))
             if out:

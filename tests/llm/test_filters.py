@@ -125,6 +125,44 @@ def test_decontamination_dense_items(spark):
     assert got == {(1, 10): True, (3, 11): True, (5, 12): True, (6, 12): False, (8, 13): True}
 
 
+def test_decontamination_finds_renamed_items(spark):
+    """Items of one to four sentences with names in all places, renamed and with other numbers by rule; unrelated texts of the same names stay."""
+    import random
+
+    rng = random.Random(8)
+    nouns = "apples boats chairs drums eggs forks gates hats irons jars kites lamps maps nets oars pens quilts ropes shoes trays".split()
+    verbs = "buys sells counts paints carries borrows washes hides finds packs drops stacks".split()
+    names = ["Anna", "Bella", "New York", "Los Angeles", "McLean", "USA", "Rio de Janeiro", "O'Neil", "Lee", "DeWitt", "UK", "Karl", "San Jose", "Maria Lopez", "van Dyke", "Tom"]
+    forms = ["{0} {v} {n} {o} near {1} before noon while the rain falls.", "Then {0} {v} {n} more {o} and leaves them with {1} for a week.", "In {1} the people of {0} have {n} kg of {o} left over today.", "How many {o} does {0} have in all after that?"]
+    items, docs, planted = [], [], {}
+    for i in range(40):
+        picked = rng.sample(range(4), rng.randint(2, 4))
+        words = [(rng.choice(verbs), rng.choice(nouns)) for _ in picked]
+        make = lambda a, b, m: " ".join(forms[f].format(a, b, v=v, o=o, n=m + k) for k, (f, (v, o)) in enumerate(zip(picked, words)))  # noqa: E731, B023
+        a, b, c, d = rng.sample([n for n in names if n not in ("Rio de Janeiro", "van Dyke")], 4)
+        items.append((i, make(a, b, rng.randint(2, 40))))
+        docs.append((i, rng.choice(["Quiz time\n", "so it goes. ", "we ask this: "]) + make(c, d, rng.randint(50, 90)) + " the end"))
+        planted[i] = i
+    docs += [(100 + i, " ".join(rng.choice(names) + " " + rng.choice(verbs) + " " + str(rng.randint(2, 40)) + " " + rng.choice(nouns) + " of the old house." for _ in range(4))) for i in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, b).collect()}
+    recall = sum((k, v) in got for k, v in planted.items()) / len(planted)
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.9 and not any(k >= 100 for k, _ in got)
+
+
+def test_decontamination_names_of_several_words(spark):
+    item = "A train leaves London at 9 and reaches Paris at noon, so how long does the trip from London take?"
+    two = item.replace("London", "New York").replace("Paris", "Los Angeles")
+    odd = item.replace("London", "McLean").replace("Paris", "USA")
+    wrong = item.replace("London", "New York", 1).replace("Paris", "Los Angeles")  # New York and London for one name
+    lists = "we saw Rome, Oslo, Bern and a train"
+    docs = [(1, two), (2, odd), (3, wrong), (4, lists), (5, item.upper())]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert {r["doc_id"]: r["exact"] for r in decontam.find_leaks(d, b).collect() if r["doc_id"] != 5} == {1: False, 2: False}
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.example.net", "/", "block"), ("net", "/", "block")]
 URLS = [
     None, "", "no scheme", "http://net", "http://net/", "HTTP://X.Example.NET/en/1?q=/de/#x", "https://example.net/de/", "https://a.example.net/en/2", "https://b.a.example.net/", "https://notexample.net/en/",
