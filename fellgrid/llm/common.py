@@ -7,31 +7,22 @@ work on UTF-8 without decoding.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop, work_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_fellgrid_work", None)
-        if base is None:
-            base = spark._fellgrid_work = tempfile.mkdtemp(prefix="fellgrid")
-    return base.rstrip("/")
-
-
 def cut(df: DataFrame, name: str = "cut", rows: int = 2000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
@@ -50,11 +41,12 @@ def cut(df: DataFrame, name: str = "cut", rows: int = 2000) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``cut`` returned and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._fellgrid_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with marks added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def byte_rows(column: pa.Array) -> list[bytes]:
@@ -99,6 +91,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Lookup:
+    """Values by key (64-bit, not 0) in arrays: each key stands at the first free place from where its hash points to."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys, first = np.unique(keys, return_index=True)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, values.dtype)
+        waiting = np.arange(len(keys))
+        place = self._first(keys)
+        while len(waiting):  # of several that want one free place one gets it, the others go on
+            want = place[waiting]
+            free = self.keys[want] == 0
+            self.keys[want[free]] = keys[waiting[free]]
+            self.values[want[free]] = values[first[waiting[free]]]
+            waiting = waiting[self.keys[want] != keys[waiting]]
+            place[waiting] = (place[waiting] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; an error for keys that are not there."""
+        place = self._first(keys)
+        open_ = np.flatnonzero(self.keys[place] != keys)
+        while len(open_):
+            if (self.keys[place[open_]] == 0).any():
+                raise RuntimeError("a key without a value: the rows came in other partitions than before")
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+            open_ = open_[self.keys[place[open_]] != keys[open_]]
+        return self.values[place]
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` words; of the whole sequence if it is shorter; none if it is empty."""
     if not len(h):

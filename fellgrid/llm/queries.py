@@ -61,7 +61,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    scored = suffix_tree.score_texts(docs, docs.filter(~out))
+    scored = suffix_tree.score_texts(docs, ~out)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -98,20 +98,24 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m WHERE k = 1
 """,
     "op8_mix_sources": r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS BIGINT) AS size,
+        md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))) AS ord, md5(coalesce(text, '')) AS tie FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3) + 1] AS DOUBLE) AS weight,
         source_size * CAST(2 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS BIGINT) * CAST(1.5 AS DOUBLE) AS pool FROM s),
 o AS (SELECT *,
         pool - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS money,
         sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS claims FROM w),
 c AS (SELECT *, cap * claims <= money * weight AS capped FROM o),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, n,
         CASE WHEN capped THEN cap ELSE (pool - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) * weight / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM c),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-        CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-        CAST(CAST('0x' || substr(md5('mix:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+u AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+        CAST(floor(CAST(CAST('0x' || substr(ord, 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) * ceil(n / CAST(100000 AS DOUBLE))) AS BIGINT) AS part
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY size, ord, tie) AS k,
+        CAST(CAST('0x' || substr(md5('mix:start:' || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END || ':' || coalesce(source, '') || ':' || CAST(part AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS start
+      FROM u)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + floor(start + k * (rate - floor(rate))) - floor(start + (k - 1) * (rate - floor(rate)))) AS BIGINT) AS taken FROM r
 """,
 }
