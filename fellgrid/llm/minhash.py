@@ -8,8 +8,9 @@
    prefix but make no list.  A passage that a third of all texts quotes is frequent, hence last.
 3. Each list links its members to its pivot, the member with fewest values of its own.  The sketches' overlap
    filters these pairs (union-sketch estimate), the full sets decide, and links become components.
-4. Lists that still span several components are searched in whole, in blocks: members outside the list's
-   largest component meet all members.  Pairs above the threshold by the first values of their sets (exact for
+4. Lists that still span several components are searched in whole: members outside the list's
+   largest component meet all members.  Both are dealt into blocks, and a block of the ones meets a block of the others in a tile, so no
+   tile has more rows than two blocks and each pair meets once.  Pairs above the threshold by the first values of their sets (exact for
    sets that small) link; others that may reach it are decided on the full sets.  First each member brings
    its best partners only; then, for what is still apart, all.
 
@@ -100,8 +101,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, heads: list[np.ndarray], percent: int, first: int, best: int | None) -> tuple[list[tuple[int, int, bool]], bool]:
-    """Candidate pairs across components within one block of one list, by the first values of the sets.
+def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, asks: np.ndarray, heads: list[np.ndarray], percent: int, first: int, best: int | None) -> tuple[list[tuple[int, int, bool]], bool]:
+    """Candidate pairs across components of one list: rows that ask (outside the main component) with rows of a block of members, by the first values of the sets.
 
     Returns (a, b, sure): sure pairs are decided (both sets are whole here); of those only a spanning forest
     is returned.  Of the others each member outside the main component brings its ``best`` (None: all); the
@@ -124,11 +125,11 @@ def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, hea
         return c
 
     pairs, more = [], False
-    for i in np.flatnonzero(out):
+    for i in np.flatnonzero(asks):
         mark = np.zeros(len(names), np.int64)
         mark[flat[starts[i] : starts[i] + length[i]]] = 1
         both = np.add.reduceat(mark[flat], starts)
-        js = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])) & (both > 0) & (~out | (np.arange(len(ids)) > i)))
+        js = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])) & (both > 0) & ~asks & (~out | (ids > ids[i])))
         if not len(js):
             continue
         # up to the smaller tail both sets are known in whole: their overlap there estimates that of the sets
@@ -148,15 +149,14 @@ def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, hea
 
 
 def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> DataFrame:
-    """``_tile`` for each (v, part); the rows of a tile come one after the other.  A row (v, part, null) marks a tile that left candidates out."""
+    """``_tile`` for each (v, p, q); the rows of a tile come one after the other.  A row (v, p, null) marks a tile that left candidates out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(group)
-            ids, comp, n, out = (t.column(i).to_numpy() for i in (2, 4, 3, 5))
-            keep = np.unique(ids, return_index=True)[1]
-            heads = t.column(6).to_pylist()
-            found, more = _tile(ids[keep], comp[keep], n[keep], out[keep].astype(bool), [_values(heads[k]) for k in keep], percent, first, best)
+            ids, n, comp, out, asks = (t.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
+            heads = t.column(8).to_pylist()
+            found, more = _tile(ids, comp, n, out.astype(bool), asks.astype(bool), [_values(h) for h in heads], percent, first, best)
             rows = [(min(a, b), max(a, b), sure) for a, b, sure in found] + [(t.column(0)[0].as_py(), t.column(1)[0].as_py(), None)] * more
             cols = list(zip(*rows)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "sure"])
@@ -164,20 +164,20 @@ def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> Dat
         group: list[pa.RecordBatch] = []
         held = None
         for batch in batches:
-            v, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.r_[0, np.flatnonzero((v[1:] != v[:-1]) | (part[1:] != part[:-1])) + 1, len(v)]
+            v, p, q = (batch.column(k).to_numpy() for k in range(3))
+            edges = np.r_[0, np.flatnonzero((v[1:] != v[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, len(v)]
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if group and held != (v[a], part[a]):
+                if group and held != (v[a], p[a], q[a]):
                     yield done(group)
                     group = []
-                held = (v[a], part[a])
+                held = (v[a], p[a], q[a])
                 group.append(batch.slice(a, b - a))
         if group:
             yield done(group)
 
-    order = tiles.select("v", "part", "id", "n", "component", "out", "head").repartition("v", "part").sortWithinPartitions("v", "part")
+    order = tiles.select("v", "p", "q", "id", "n", "component", "out", "asks", "head").repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
     return order.mapInArrow(run, "a long, b long, sure boolean")
 
 
@@ -246,12 +246,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             break
         placed = cut(placed.join(open_lists, "v"), "placed")
         parts = placed.groupBy("v", "component").agg(F.count("*").alias("held"))
-        main = parts.groupBy("v").agg(F.max(F.struct("held", (-F.col("component")).alias("minus"))).alias("m")).select("v", (-F.col("m.minus")).alias("main"))
-        main = cut(main, "main")
-        blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-        own_block = F.pmod(sign, blocks).cast("int")
+        main = parts.groupBy("v").agg(F.max(F.struct("held", (-F.col("component")).alias("minus"))).alias("m"), F.sum("held").alias("all"))
+        main = cut(main.select("v", (-F.col("m.minus")).alias("main"), (F.col("all") - F.col("m.held")).alias("outside")), "main")
+        blocks, askers = F.ceil(F.col("c") / F.lit(block)).cast("int"), F.ceil(F.col("outside") / F.lit(block)).cast("int")
         dealt = placed.join(main, "v").withColumn("out", F.col("component") != F.col("main"))
-        dealt = dealt.withColumn("part", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own_block))))
+        dealt = dealt.withColumn("own_q", F.pmod(sign, blocks).cast("int")).withColumn("own_p", F.pmod(F.shiftright(sign, 20), askers).cast("int"))
+        asked = F.transform(F.sequence(F.lit(0), askers - 1), lambda p: F.struct(p.alias("p"), F.col("own_q").alias("q"), F.lit(False).alias("asks")))
+        asking = F.transform(F.sequence(F.lit(0), blocks - 1), lambda q: F.struct(F.col("own_p").alias("p"), q.alias("q"), F.lit(True).alias("asks")))
+        dealt = dealt.withColumn("x", F.explode(F.when(F.col("out"), F.concat(asked, asking)).otherwise(asked))).select("v", "x.p", "x.q", "x.asks", "id", "n", "component", "out")
         found = cut(_search(dealt.join(heads, "id"), percent, first, best).distinct(), "found")
         more = found.filter("sure").select("a", "b").unionByName(_verify(found.filter("not sure"), sets, percent))
         links = cut(links.unionByName(more).distinct(), "links")
