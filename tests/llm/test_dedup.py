@@ -201,7 +201,7 @@ def test_near_vectors_match_brute_force(spark):
         v = centres[i % 4] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.3, 0.5])
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 3)))
     rows += [(500 + i, rows[7][1], rows[7][2]) for i in range(5)]
-    rows += [(600, None, 1), (601, [0.0] * 16, 1), (602, [float("nan")] * 16, 1), (603, [None] * 16, 1), (604, rows[0][1], None), (605, [], 0), (606, [float("inf")] + [1.0] * 15, 0)]
+    rows += [(600, None, 1), (601, [0.0] * 16, 1), (602, [float("nan")] * 16, 1), (603, [None] * 16, 1), (604, rows[0][1], None), (605, [], 0), (606, [float("inf")] + [1.0] * 15, 0), (607, [1e-30] * 16, 0), (608, [1e30] * 16, 0), (609, [1e30] * 15 + [9e29], 0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, digest string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding.near_vectors(df, tile=16).collect()}
     assert got == brute_vectors(rows, 0.93)
@@ -210,7 +210,14 @@ def test_near_vectors_match_brute_force(spark):
 
 def test_tile_bounds_lose_no_pair():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 8)) * rng.uniform(1e-3, 1e3, size=(200, 1))
-    c = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    x = rng.normal(size=(200, 8)) * 10.0 ** rng.integers(-200, 200, size=(200, 1))
+    unit = embedding.unit_rows(x)
+    c = unit @ unit.T
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if c[i, j] >= 0.8}
-    assert set(zip(*(a.tolist() for a in embedding.tile_links(x, None, 0.8)))) == want
+    rows, got, opened = embedding.quantise(unit), set(), 0
+    every = np.arange(200)
+    for i, j, k, m in embedding._pairs(every, every, True, rows, 0.8):
+        keep = embedding.exact_links(x, x, k, m, 0.8)
+        got |= set(zip(i.tolist(), j.tolist())) | set(zip(k[keep].tolist(), m[keep].tolist()))
+        opened += len(k)
+    assert got == want and 0 < opened < 0.2 * 200 * 199 / 2
