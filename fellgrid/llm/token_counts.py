@@ -72,12 +72,14 @@ def stitch(scanned: DataFrame) -> DataFrame:
     return rows.select("file", (F.col("first") + F.col("k")).alias("ordinal"), "n_tokens", (F.col("k") < F.col("ends")).alias("ended"))
 
 
-def count_files(spark: SparkSession, path: str, *, end: int = END_OF_DOCUMENT, width: int = 2, block: int = 1 << 20) -> DataFrame:
-    """(path, ordinal, n_tokens, ended) of the flat token files under ``path``; files of up to 2 GB each.
+def count_files(spark: SparkSession, path: str, *, end: int = END_OF_DOCUMENT, width: int = 2, block: int = 1 << 20, largest: int = 1 << 30) -> DataFrame:
+    """(path, ordinal, n_tokens, ended) of the flat token files under ``path``.
 
-    ``width`` bytes an id.  A file whose length is no multiple of it is cut short by the odd bytes.
+    ``width`` bytes an id.  A file whose length is no multiple of it is cut short by the odd bytes.  Files of up to ``largest``
+    bytes are read whole, one a row, and cut into blocks; larger ones are read in ranges, see ``count_large_files``.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("file"), "content")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = listed.filter(F.col("length") <= largest).select("path", F.xxhash64("path").alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,18 +88,57 @@ def count_files(spark: SparkSession, path: str, *, end: int = END_OF_DOCUMENT, w
                 for k in range(0, len(raw), block * width):
                     yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k // (block * width)], pa.int64()), pa.array([raw[k : k + block * width]], pa.binary()), pa.array([None], pa.int64())], ["file", "block", "ids", "key"])
 
-    blocks = files.select("file", "content").mapInArrow(run, "file long, block long, ids binary, key long")
-    return stitch(scan_blocks(blocks, end=end, width=width)).join(files.select("file", "path"), "file").drop("file")
+    blocks = small.select("file", "content").mapInArrow(run, "file long, block long, ids binary, key long")
+    counted = stitch(scan_blocks(blocks, end=end, width=width)).join(small.select("file", "path"), "file").drop("file")
+    large = [r["path"] for r in listed.filter(F.col("length") > largest).select("path").collect()]  # names of large files alone
+    return counted.unionByName(count_large_files(spark, large, end=end, width=width)) if large else counted
 
 
-def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END_OF_DOCUMENT, block: int = 1 << 16) -> DataFrame:
+def count_large_files(spark: SparkSession, paths: list[str], *, end: int = END_OF_DOCUMENT, width: int = 2) -> DataFrame:
+    """``count_files`` for files of any size, which Spark's line reader scans for the separator's bytes in ranges of its own choice.
+
+    The pieces between those bytes come in order within a range, and a prefix scan over pieces and ranges gives their places.  Bytes that
+    look like the separator but lie across two ids are no separator; pieces around them are one.  An id whose bytes can overlap
+    themselves (its first bytes equal its last) can't be scanned for in this way and is an error.
+    """
+    mark = end.to_bytes(width, "little")
+    if any(mark[:k] == mark[-k:] for k in range(1, width)):
+        raise ValueError(f"the bytes of id {end} overlap themselves; take files of at most 2 GB")
+    text = mark.decode("latin1")
+    lines = spark.read.option("lineSep", text).option("encoding", "ISO-8859-1").text(paths) if not text.isascii() else spark.read.option("lineSep", text).text(paths)
+    m = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("k"), F.octet_length("value").cast("long").alias("n"))
+    pieces = cut(m, "pieces")
+    # ranges of a file in order, then pieces in order inside each
+    ranges = pieces.groupBy("path", "range").agg(F.sum(F.col("n") + width).alias("all"))
+    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.join(ranges.withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).select("path", "range", "base"), ["path", "range"])
+    inside = Window.partitionBy("path", "range").orderBy("k")
+    placed = placed.withColumn("stop", F.col("base") + F.sum(F.col("n") + width).over(inside) - width)  # where the bytes after the piece begin
+    real = (F.col("stop") + width <= F.col("size")) & (F.col("stop") % width == 0)
+    marks = placed.filter(real).select("path", "size", "range", "stop")
+    # documents are numbered by range, so that no task has all of a file
+    held = marks.groupBy("path", "range").agg(F.count("*").alias("c"), F.max("stop").alias("last"))
+    held = held.withColumn("first", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("past", F.coalesce(F.max("last").over(before) + width, F.lit(0)))
+    row = Window.partitionBy("path", "range").orderBy("stop")
+    docs = marks.join(held.select("path", "range", "first", "past"), ["path", "range"]).withColumn("from", F.coalesce(F.lag("stop").over(row) + width, F.col("past")))
+    docs = docs.select("path", (F.col("first") + F.row_number().over(row) - 1).alias("ordinal"), ((F.col("stop") - F.col("from")) / width).cast("long").alias("n_tokens"), F.lit(True).alias("ended"))
+    ends = pieces.groupBy("path").agg(F.max("size").alias("size")).join(held.groupBy("path").agg((F.max("last") + width).alias("at"), F.sum("c").alias("ordinal")), "path", "left")
+    rest = F.floor((F.floor(F.col("size") / width) * width - F.coalesce("at", F.lit(0))) / width).cast("long")
+    loose = ends.select("path", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended")).filter("n_tokens > 0")
+    return docs.unionByName(loose)
+
+
+def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end: int = END_OF_DOCUMENT, block: int = 1 << 16, width: int = 2) -> DataFrame:
     """(file, block, ids, key): the texts of each partition as one flat file in blocks, and its keys in order.
 
+    ``vocabulary`` is read on the driver; ``width`` bytes an id, which must hold all its ids and ``end``.
     Rows with ids hold a block; rows with a key say which document comes at which place (block is the place).
     Null and empty texts are a lone separator.
     """
     with open(vocabulary, "rb") as f:  # read on the driver; executors need no copy
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(max(ranks.values()), end) >= 1 << (8 * width):
+        raise ValueError(f"{width} bytes don't hold all ids of the vocabulary")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +160,7 @@ def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabu
             for raw in byte_rows(batch.column(1)):
                 ids = coder.encode_ordinary(raw.decode("utf-8", "replace"))
                 ids.append(end)
-                held.append(np.array(ids, "<u2"))
+                held.append(np.array(ids, f"<u{width}"))
                 size += len(ids)
             if size >= block:
                 flat = np.concatenate(held)
@@ -135,12 +176,12 @@ def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabu
     return pair.mapInArrow(run, "file long, block long, ids binary, key long")
 
 
-def count_tokens(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def count_tokens(docs: DataFrame, *, key: str = "doc_id", end: int = END_OF_DOCUMENT, width: int = 2, **options) -> DataFrame:
     """(key, n_tokens) for each row of ``docs``, by way of flat files and their separators.
 
     Null and empty texts have 0 tokens; repeated rows are counted each; an empty table gives an empty result.
     """
-    scanned = cut(scan_blocks(tokenize(docs, key=key, **options)), "scanned")
+    scanned = cut(scan_blocks(tokenize(docs, key=key, end=end, width=width, **options), end=end, width=width), "scanned")
     counts = stitch(scanned.filter("ends is not null"))
     places = scanned.filter("ends is null").select("file", F.col("block").alias("ordinal"), F.col("key").alias(key))
     return places.join(counts, ["file", "ordinal"]).select(key, "n_tokens")

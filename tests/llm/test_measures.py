@@ -109,6 +109,31 @@ def test_separator_scan_of_files(spark, tmp_path, block):
     assert got == [("a.bin", 0, 2, True), ("a.bin", 1, 0, True), ("a.bin", 2, 1, True), ("a.bin", 3, 11, True), ("a.bin", 4, 2, False), ("b.bin", 0, 0, True)]
 
 
+def test_large_files_in_ranges(spark, tmp_path):
+    """Separators at odd places are none; ranges smaller than documents and files give the same as whole files."""
+    rng = np.random.default_rng(4)
+    end = 50256
+    for name, n in (("a.bin", 400), ("b.bin", 1), ("c.bin", 90)):
+        ids = rng.choice([end, end, 0x50C4, 0xC4C4, 0x5050, 7, 0x50, 0xC4, 0x0A0D], n).astype("<u2")
+        (tmp_path / name).write_bytes(ids.tobytes() + (b"x" if name == "c.bin" else b""))
+    (tmp_path / "d.bin").write_bytes(np.array([5] * 50, "<u2").tobytes())
+    rows = lambda df: sorted((r["path"].rsplit("/")[-1], r["ordinal"], r["n_tokens"], r["ended"]) for r in df.collect())
+    want = rows(token_counts.count_files(spark, str(tmp_path), end=end))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("64", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            assert rows(token_counts.count_files(spark, str(tmp_path), end=end, largest=10)) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    with pytest.raises(ValueError):
+        token_counts.count_large_files(spark, [str(tmp_path / "a.bin")], end=0x0A0A)
+    with pytest.raises(ValueError):
+        token_counts.tokenize(spark.createDataFrame([(1, "a")], "doc_id long, text string"), width=1)
+
+
 def brute_tree(texts, depth, fewest, gain, ratio):
     """log10 probability of a text by a suffix tree made of dictionaries, one context after the other."""
     symbols = lambda t: [max(b, 1) for b in b"".join(w + b" " for w in (t or "").encode().lower().split()) + b"\n"]
