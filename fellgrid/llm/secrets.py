@@ -432,8 +432,13 @@ def _made_up(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
 
 
 def train(texts: list[str], *, lines: int = 3000, rounds: int = 80, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> SecretField:
-    """Fit on made-up texts and on texts labelled by the base patterns, all tokens of them."""
+    """Fit on made-up texts and on texts labelled by the base patterns, all tokens of them.
+
+    The patterns don't know all secrets: what stands behind a keyword on a line of a given text and is no plain word, and which they
+    don't match, counts neither for nor against.
+    """
     examples = _made_up(lines, seed)
+    made = len(examples)
     for text in texts:
         spans = []
         for a, kind, b in base_spans(text):
@@ -459,6 +464,7 @@ def train(texts: list[str], *, lines: int = 3000, rounds: int = 80, rate: float
         row = table.rows(raw, begin, length, h)
         kind = table.kind[row]
         codes = [*context_codes(kind, gap, doc), *(code[doc] * _C + kind for code in file_codes(kind, doc, len(texts_)))]
+        unknown = (doc >= made) & (gold == _OUT) & (codes[4] >= _C) & np.isin(kind, (4, _MIXED, _LONG, 12, 15))
         truth, fixed = np.eye(3)[gold], np.zeros((n, 3))
         start = np.r_[True, doc[1:] != doc[:-1]]
         fixed[start, _IN] = _NEVER
@@ -474,6 +480,7 @@ def train(texts: list[str], *, lines: int = 3000, rounds: int = 80, rate: float
             allowed[_OUT, _IN] = _NEVER
             p, joint = forward_backward(scores, start, allowed, pairs=True)
             g = truth - p
+            g[unknown] = 0.0
             by_token = sums(row, g, len(table.values))
             grads = [*(sums(table.values[:, i], by_token, size) for i, size in enumerate(_LOOKS)), *(sums(code, g, size) for code, size in zip(codes, sizes[k:]))]
             for w, s, grad in zip(held, squares, grads):
