@@ -249,16 +249,18 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
 
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)).alias("h"))
     # the smallest hashes of each language, by map-side combined aggregation on hashes alone
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    langs = counts.count()
+    if not langs:
         return Crf([], np.zeros((1, 0)), np.zeros((0, 0)))
-    each = max(1, most_docs // len(counts))
-    share = {r["lang"]: min(1.0, 1.5 * each / r["count"] + 0.001) for r in counts}
-    bar = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int((v - 0.5) * 2**64) if v < 1 else 2**63 - 1)) for k, v in share.items()))
+    each = max(1, most_docs // langs)
+    share = F.least(F.lit(1.0), F.lit(1.5 * each) / F.col("all") + 0.001)
+    bar = F.when(share >= 1, F.lit(2**63 - 1)).otherwise(((share - 0.5) * 2.0**64).cast("long"))
+    counts = F.broadcast(counts) if langs <= 100_000 else counts  # a checked size; more languages meet in a join
     order = Window.partitionBy("lang").orderBy("h", "text")
-    few = rows.filter(F.col("h") <= bar).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
+    few = rows.join(counts, "lang").filter(F.col("h") <= bar).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
     room = Window.partitionBy("lang").orderBy("k")
-    few = few.withColumn("bytes", F.sum(F.octet_length("text")).over(room)).filter((F.col("bytes") <= most_bytes // len(counts)) | (F.col("k") == 1))
+    few = few.withColumn("bytes", F.sum(F.octet_length("text")).over(room)).filter((F.col("bytes") <= most_bytes // langs) | (F.col("k") == 1))
     sample = few.select("lang", "text").collect()
     return train([r["text"].encode() for r in sample], [r["lang"] for r in sample], **options)
 
