@@ -155,3 +155,84 @@ def test_daily_cubes_need_their_library():
     except ImportError:
         with pytest.raises(RuntimeError, match="h5py"):
             list(files.cube_rows(b"", "tasmax"))
+
+
+def test_vector_layers(spark, tmp_path):
+    import sqlite3
+
+    import numpy as np
+
+    from fellgrid.functions import polygons as g
+    from fellgrid.sources import layers
+
+    holed = [[g.box(0, 0, 4, 4)[0][0], g.box(1, 1, 2, 2)[0][0]]]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, srs_id INTEGER)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('woods', 'geom', 27700)")
+    db.execute("CREATE TABLE woods (fid INTEGER PRIMARY KEY, kind TEXT, geom BLOB)")
+    head = lambda flags, envelope: b"GP\0" + bytes([flags]) + struct.pack("<i", 27700) + envelope
+    db.executemany("INSERT INTO woods (kind, geom) VALUES (?, ?)", [("a", head(1, b"") + g.write_wkb(holed)), ("b", head(3, b"\0" * 32) + g.write_wkb(g.box(0, 0, 1, 1))), ("c", head(0x11, b"")), ("d", None)])
+    db.commit()
+    (tmp_path / "w.gpkg").write_bytes(db.serialize())
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
+        z.writestr("in/w.gpkg", db.serialize())
+    for file in ("w.gpkg", "w.zip"):
+        got = layers.read_geopackage(spark, str(tmp_path / file), "woods", ["fid", "kind"], crs=27700).orderBy("fid").collect()
+        assert [(r["fid"], r["kind"], None if r["geom"] is None else g.area(g.read_wkb(bytes(r["geom"])))) for r in got] == [("1", "a", 15), ("2", "b", 1), ("3", "c", None), ("4", "d", None)]
+    for options in ({"layer": "none", "wanted": []}, {"layer": "woods", "wanted": ["x"]}, {"layer": "woods", "wanted": [], "crs": 4326}):
+        with pytest.raises(ValueError):
+            list(layers.geopackage_rows(db.serialize(), **options))
+
+    def record(n, rings):
+        closed = [np.vstack([r, r[:1]]) for r in rings]
+        starts = np.cumsum([0, *(len(r) for r in closed)])
+        body = struct.pack("<I4d2i", 5, 0, 0, 9, 9, len(closed), int(starts[-1])) + starts[:-1].astype("<i4").tobytes() + np.vstack(closed).astype("<f8").tobytes()
+        return struct.pack(">II", n, len(body) // 2) + body
+
+    outer, hole, other = holed[0][0][::-1], holed[0][1], g.box(10, 0, 11, 1)[0][0][::-1]
+    shp = b"\0" * 100 + record(1, [outer, hole, other]) + struct.pack(">III", 2, 2, 0) + record(3, [other])
+    with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
+        z.writestr("s.shp", shp)
+        z.writestr("s.dbf", dbf([("name", 3)], [(False, ("x",)), (False, ("y",)), (True, ("z",))]))
+    got = layers.read_shapefile_polygons(spark, str(tmp_path / "s.zip"), ["name"]).collect()
+    assert [(r["name"], None if r["geom"] is None else g.area(g.read_wkb(bytes(r["geom"])))) for r in got] == [("x", 16), ("y", None)]
+    with pytest.raises(ValueError):
+        list(layers.shape_polygons(shp[:-4]))
+
+
+def test_osm_extract(spark, tmp_path):
+    import zlib
+
+    from fellgrid.functions import polygons as g
+    from fellgrid.sources import osm
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    zig = lambda n: varint((n << 1) ^ (n >> 63) if n >= 0 else ((-n) << 1) - 1)
+    part = lambda k, body: varint(k << 3 | 2) + varint(len(body)) + body
+    deltas = lambda xs: b"".join(zig(b - a) for a, b in zip([0, *xs], xs))
+    strings = ["", "shop", "supermarket", "landuse", "military", "name", "Mühle"]
+    nodes = [(10, 540_000_000, -10_000_000), (11, 540_000_000, 10_000_000), (7, 540_010_000, 10_000_000), (300, 540_010_000, -10_000_000)]
+    pairs = [1, 2, 5, 6, 0, 0, 5, 6, 0, 0]
+    dense = part(1, deltas([n[0] for n in nodes])) + part(8, deltas([n[1] for n in nodes])) + part(9, deltas([n[2] for n in nodes])) + part(10, b"".join(map(varint, pairs)))
+    way = lambda i, keys, vals, refs: part(3, varint(1 << 3) + varint(i) + part(2, bytes(keys)) + part(3, bytes(vals)) + part(8, deltas(refs)))
+    group = way(5, [3], [4], [10, 11, 7, 300, 10]) + way(6, [3], [4], [10, 11]) + way(8, [5], [6], [10, 11, 7, 10]) + way(9, [3], [4], [10, 11, 999, 10])
+    block = part(1, b"".join(part(1, s.encode()) for s in strings)) + part(2, part(2, dense)) + part(2, group)
+    file = b""
+    for kind, raw in ((b"OSMHeader", b"x"), (b"OSMData", block)):
+        blob = varint(2 << 3) + varint(len(raw)) + part(3, zlib.compress(raw))
+        head = part(1, kind) + varint(3 << 3) + varint(len(blob))
+        file += struct.pack(">I", len(head)) + head + blob
+    (tmp_path / "x.pbf").write_bytes(file)
+    got = osm.read_osm(spark, str(tmp_path / "x.pbf"), {"shop": {"supermarket", "convenience"}, "landuse": {"military"}}).orderBy("id").collect()
+    assert [(r["kind"], r["id"]) for r in got] == [("w", 5), ("w", 6), ("w", 9), ("n", 10)]
+    assert got[3]["tags"] == {"shop": "supermarket", "name": "Mühle"} and (round(got[3]["lat"], 7), round(got[3]["lon"], 7)) == (54.0, -1.0)
+    assert got[0]["refs"] == [10, 11, 7, 300, 10] and osm.read_osm(spark, str(tmp_path / "x.pbf"), {"name": None}, "w").count() == 1
+    areas = osm.read_osm_areas(spark, str(tmp_path / "x.pbf"), {"landuse": {"military"}}).collect()
+    assert [r["id"] for r in areas] == [5] and abs(g.area(g.read_wkb(bytes(areas[0]["geom"]))) - 0.002) < 1e-9
+    with pytest.raises(ValueError):
+        list(osm.blocks(file[:-2]))
