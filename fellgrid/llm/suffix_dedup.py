@@ -6,13 +6,13 @@ least one suffix at the same place, so any passage that repeats over ``least`` w
 first ``every`` positions, of which at least ``least - every + 1`` words follow inside the passage.
 
 1. Suffixes are grouped by their first ``least - every + 1`` words; those that occur once are dropped.
-2. The others are sorted by their words and each is compared with its neighbours in that order, which gives the most words
-   that any other suffix of its group shares with it to the right; sorted by what stands before them, the neighbours there give the
-   most to the left.  Matches are extended to both sides word by word; those of ``least`` words or more are repeated passages.
-3. No passage around a suffix reaches beyond its most words to the left and right.  Where these make ``least`` words
-   and the neighbours' matches don't reach as far, another suffix may share more on both sides at once.  The windows of ``least`` words
-   in question (they begin up to ``every - 1`` words before the suffix, and no found match has them) are then
-   looked up by their hashes among those of all suffixes of the group, which leaves nothing out.
+2. The others are sorted by their words and each is compared with its nearest neighbours in that order on both sides; sorted by what
+   stands before them, it is compared with its neighbours there too.  Matches are extended to both sides word by word; those of ``least``
+   words or more are repeated passages.
+3. A suffix that was not compared shares no more words to the right than the furthest neighbour in the first order, and no more to
+   the left than the furthest in the second.  The windows of ``least`` words that these bounds allow and no found match
+   has (they begin up to ``every - 1`` words before the suffix) are in question.  They are looked up by their hashes among those of all suffixes
+   of the group, which leaves nothing out.
 4. Overlapping passages of one document become spans.
 
 The sort is by ranges of (first words, rest), not by key, so a passage that a third of all documents share is
@@ -114,39 +114,45 @@ def _words_of(contexts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(flat, np.uint8).reshape(len(contexts), words, _WORD), np.array([len(c) // _WORD for c in contexts], np.int64)
 
 
-def _agree(contexts: list[bytes], words: int) -> np.ndarray:
-    """Number of equal words at the start of each context and the next."""
-    rows, size = _words_of(contexts, words)
-    differ = (rows[1:] != rows[:-1]).any(2)
-    first = np.where(differ.any(1), differ.argmax(1), words)
-    return np.minimum(first, np.minimum(size[1:], size[:-1]))
+def _agree(rows: np.ndarray, size: np.ndarray, apart: int) -> np.ndarray:
+    """Number of equal words at the start of each context and the one ``apart`` rows on."""
+    differ = (rows[apart:] != rows[:-apart]).any(2)
+    first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return np.minimum(first, np.minimum(size[apart:], size[:-apart]))
 
 
-def _matches(rows: list[tuple], side: int, every: int, least: int) -> np.ndarray:
-    """(most, back, ahead) of rows (head, row, pos, left, right) from the comparison of each with the next.
+def _matches(rows: list[tuple], side: int, every: int, least: int, near: int) -> np.ndarray:
+    """(far, back, ahead) of rows (head, row, pos, left, right) in the order of a ``side`` (0: right, 1: left).
 
-    most: words shared with a neighbour on the sorted ``side`` (0: right, 1: left).  back, ahead: reach of the matches of
-    ``least`` words or more, -1 without one.
+    Each is compared with the ``near`` rows before and after it.  far: most words that any row of its head beyond these can share on that
+    side, as far as these rows tell (-1: there is none).  back, ahead: reach of the matches of ``least`` words or more, -1 without one.
     """
-    out = np.full((len(rows), 3), -1, np.int64)
-    if len(rows) < 2:
+    n = len(rows)
+    out = np.full((n, 3), -1, np.int64)
+    if n < 2:
         return out
     name = np.array([r[:3] for r in rows], np.int64)
-    left, right = _agree([r[3] for r in rows], every), _agree([r[4] for r in rows], least)
-    same = (name[1:, 0] == name[:-1, 0]) & (name[1:, 1:] != name[:-1, 1:]).any(1)
-    long = same & (left + right >= least)
-    for part in (out[1:], out[:-1]):
-        np.maximum(part[:, 0], np.where(same, left if side else right, -1), out=part[:, 0])
-        np.maximum(part[:, 1], np.where(long, left, -1), out=part[:, 1])
-        np.maximum(part[:, 2], np.where(long, right, -1), out=part[:, 2])
+    left, right = _words_of([r[3] for r in rows], every), _words_of([r[4] for r in rows], least)
+    for d in range(1, min(near, n - 1) + 1):
+        head = name[d:, 0] == name[:-d, 0]
+        to_left, to_right = _agree(*left, d), _agree(*right, d)
+        long = head & (name[d:, 1:] != name[:-d, 1:]).any(1) & (to_left + to_right >= least)
+        beyond = np.where(head, to_left if side else to_right, -1)
+        for part, edge in ((out[d:], 0), (out[:-d], -1)):
+            np.maximum(part[:, 1], np.where(long, to_left, -1), out=part[:, 1])
+            np.maximum(part[:, 2], np.where(long, to_right, -1), out=part[:, 2])
+            if d == near:
+                np.maximum(part[:, 0], beyond, out=part[:, 0])
+            else:  # the row that has just so many rows on that side
+                part[edge, 0] = max(part[edge, 0], beyond[edge])
     return out
 
 
-_NAMES = ["side", "row", "pos", "head", "most", "back", "ahead"]
+_NAMES = ["side", "row", "pos", "head", "far", "back", "ahead"]
 
 
-def _reach(suffixes: DataFrame, side: int, every: int, least: int) -> DataFrame:
-    """(side, row, pos, head, most, back, ahead) of each suffix from its neighbours in the order of one side; a suffix can have several rows."""
+def _reach(suffixes: DataFrame, side: int, every: int, least: int, near: int) -> DataFrame:
+    """(side, row, pos, head, far, back, ahead) of each suffix from its neighbours in the order of one side; those at the seams of tasks have several rows."""
     order = ["right", "left"][:: -1 if side else 1]
     by = ["head", *order, "row", "pos"]
     columns = ["head", "row", "pos", "left", "right"]
@@ -155,32 +161,40 @@ def _reach(suffixes: DataFrame, side: int, every: int, least: int) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        last, first = None, None
+        held: list[tuple] = []  # rows that wait for those after them, and ``near`` rows before them
+        done, first = 0, None
+
+        def leave(found: np.ndarray, rows: list[tuple]) -> pa.RecordBatch:
+            name = np.array([r[:3] for r in rows], np.int64).reshape(-1, 3)
+            ints = [pa.array(np.full(len(rows), side, np.int8)), *(pa.array(c) for c in (name[:, 1], name[:, 2], name[:, 0], *found.T))]
+            return pa.RecordBatch.from_arrays([*ints, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())], [*_NAMES, "left", "right"])
+
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
-            if not rows:
+            held += zip(*(batch.column(k).to_pylist() for k in range(5)))
+            if not held:
                 continue
-            first = rows[0] if first is None else first
-            rows = rows if last is None else [last, *rows]
-            last = rows[-1]
-            found = _matches(rows, side, every, least)
-            name = np.array([r[:3] for r in rows], np.int64)
-            none = [pa.nulls(len(rows), pa.binary())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), side, np.int8)), *(pa.array(c) for c in (name[:, 1], name[:, 2], name[:, 0], *found.T)), *none], [*_NAMES, "left", "right"])
-        if last is not None:  # the first and the last row, for the neighbours in other tasks: numbered 2 task, 2 task + 1
-            head, row, pos, left, right = zip(first, last)
+            first = held[0] if first is None else first
+            ready = len(held) - near
+            if ready > done:
+                yield leave(_matches(held, side, every, least, near)[done:ready], held[done:ready])
+                cut_at = max(0, ready - near)
+                held, done = held[cut_at:], ready - cut_at
+        if held:
+            yield leave(_matches(held, side, every, least, near)[done:], held[done:])
+            # the first and the last row, for the neighbours in other tasks: numbered 2 task, 2 task + 1
+            head, row, pos, left, right = zip(first, held[-1])
             ints = [pa.array([None, None], pa.int8()), *(pa.array(c, pa.int64()) for c in (row, pos, head, (2 * task, 2 * task + 1), (None, None), (None, None)))]
             yield pa.RecordBatch.from_arrays([*ints, pa.array(left, pa.binary()), pa.array(right, pa.binary())], [*_NAMES, "left", "right"])
 
     ordered = suffixes.select(*columns).repartitionByRange(*by).sortWithinPartitions(*by)
-    found = cut(ordered.mapInArrow(run, "side byte, row long, pos long, head long, most long, back long, ahead long, left binary, right binary"), "matches")
+    found = cut(ordered.mapInArrow(run, "side byte, row long, pos long, head long, far long, back long, ahead long, left binary, right binary"), "matches")
     # two rows a task, so their number is that of tasks
-    seams = [(h, i, p, bytes(left), bytes(right)) for h, i, p, left, right in found.filter("side is null").orderBy("most").select(*columns).collect()]
+    seams = [(h, i, p, bytes(left), bytes(right)) for h, i, p, left, right in found.filter("side is null").orderBy("far").select(*columns).collect()]
     across = []
     for x, y in zip(seams[1::2], seams[2::2]):
-        across += [(side, r[1], r[2], r[0], *m) for r, m in zip((x, y), _matches([x, y], side, every, least).tolist())]
+        across += [(side, r[1], r[2], r[0], *m) for r, m in zip((x, y), _matches([x, y], side, every, least, 1).tolist())]
     inside = found.filter("side is not null").select(*_NAMES)
-    return inside.unionByName(suffixes.sparkSession.createDataFrame(across, "side byte, row long, pos long, head long, most long, back long, ahead long")) if across else inside
+    return inside.unionByName(suffixes.sparkSession.createDataFrame(across, "side byte, row long, pos long, head long, far long, back long, ahead long")) if across else inside
 
 
 def _by_row(batches: Iterator[pa.RecordBatch], work) -> Iterator[tuple]:
@@ -222,24 +236,24 @@ def _resolve(reached: DataFrame, least: int, every: int) -> DataFrame:
     """
 
     def work(row: int, columns: list[np.ndarray]) -> tuple:
-        side, pos, head, most, back, ahead = columns
+        side, pos, head, far, back, ahead = columns
         at, place = np.unique(pos, return_inverse=True)
         top = np.full((4, len(at)), -1, np.int64)
         heads = np.zeros(len(at), np.int64)
         heads[place] = head
-        for k, values in ((0, np.where(side == 0, most, -1)), (1, np.where(side == 1, most, -1)), (2, back), (3, ahead)):
+        for k, values in ((0, np.where(side == 0, far, -1)), (1, np.where(side == 1, far, -1)), (2, back), (3, ahead)):
             np.maximum.at(top[k], place, values)
         right, left, back, ahead = top
         found = back >= 0
         start, stop = _union(at[found] - back[found], at[found] + ahead[found])
         o = np.arange(every)
-        asked = (o <= left[:, None]) & (least - o <= right[:, None]) & ~((o <= back[:, None]) & (least - o <= ahead[:, None]))
+        asked = (left[:, None] >= o) & (right[:, None] >= least - o) & ~((o <= back[:, None]) & (least - o <= ahead[:, None]))
         need = (asked.astype(np.int64) << o).sum(1)
         open_ = need != 0
         n, m = len(start), int(open_.sum())
         return [row] * (n + m), np.r_[start, at[open_]], np.r_[stop, at[open_]], [None] * n + heads[open_].tolist(), [None] * n + need[open_].tolist()
 
-    return reached.select("row", "side", "pos", "head", "most", "back", "ahead").repartition("row").sortWithinPartitions("row").mapInArrow(lambda batches: _records(_by_row(batches, work)), _SPANS)
+    return reached.select("row", "side", "pos", "head", "far", "back", "ahead").repartition("row").sortWithinPartitions("row").mapInArrow(lambda batches: _records(_by_row(batches, work)), _SPANS)
 
 
 _SPANS = "row long, start long, stop long, head long, need long"
@@ -273,7 +287,7 @@ def _windows(suffixes: DataFrame, every: int, least: int) -> DataFrame:
     return suffixes.select("head", "row", "pos", "left", "right", "need", "own").mapInArrow(run, "head long, o long, h long, row long, start long, asked long")
 
 
-def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 8, every: int = 32) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = 50, gram: int = 8, every: int = 32, near: int = 4) -> DataFrame:
     """(key, start, stop, n_words) of the word spans of each document that repeat elsewhere, ``least`` words or longer.
 
     Words are compared with A-Z lower-cased (by hashes of 24 bits a word).  Elsewhere is another row or another place of the same text.
@@ -292,7 +306,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     rows = cut(alone.select("id", "row", F.explode(F.arrays_zip("pos", "heads")).alias("x")).select("id", "row", F.col("x.pos").alias("pos"), F.col("x.heads").alias("head")), "rows")
     often = cut(rows.groupBy("head").agg(F.count("*").alias("c")).filter("c > 1").select("head"), "often")  # a table, so that the join can split frequent heads
     suffixes = cut(_contexts(docs, rows.join(often, "head", "left_semi"), text="text", every=every, least=least), "contexts")
-    spans = cut(_resolve(_reach(suffixes, 0, every, least).unionByName(_reach(suffixes, 1, every, least)), least, every), "spans")
+    spans = cut(_resolve(_reach(suffixes, 0, every, least, near).unionByName(_reach(suffixes, 1, every, least, near)), least, every), "spans")
     matches = spans.filter("head is null").select("row", "start", "stop")
     asking = spans.filter("head is not null")
     hard = cut(asking.groupBy("head").agg(F.bit_or("need").alias("need")), "hard")
