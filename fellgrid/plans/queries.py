@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import encode, geo, roads, text
 from ..functions.geo import Grid
@@ -145,7 +146,7 @@ e AS (SELECT 'heat_days_tmax_gt_25' AS metric, cell, month(day) AS m, count(*) F
   UNION ALL SELECT 'heat_days_tmax_gt_30', cell, month(day), count(*) FILTER (v > 30) FROM hi GROUP BY ALL
   UNION ALL SELECT 'heat_tropical_nights_tmin_gt_20', cell, month(day), count(*) FILTER (v > 20) FROM lo GROUP BY ALL
   UNION ALL SELECT 'cold_air_frost_days', cell, month(day), count(*) FILTER (v < 0) FROM lo GROUP BY ALL)
-SELECT metric, cell, round(value, 6) AS value FROM (
+SELECT metric, cell, round(value, 9) AS value FROM (
 SELECT metric, cell, sum(CAST(n AS DOUBLE) / years) AS value FROM e JOIN cov USING (m) GROUP BY metric, cell
 UNION ALL SELECT 'heat_longest_run_tmax_gt_25', c.cell, CAST(coalesce(max(n), 0) AS DOUBLE) FROM (SELECT DISTINCT cell FROM hi) c LEFT JOIN isl USING (cell) GROUP BY c.cell
 UNION ALL SELECT 'heat_2000_longest_run_tmax_gt_25', c.cell, CAST(coalesce(max(n), 0) AS DOUBLE) FROM (SELECT DISTINCT cell FROM hi WHERE year(day) = 2000) c LEFT JOIN isl ON isl.cell = c.cell AND y = 2000 GROUP BY c.cell
@@ -162,7 +163,7 @@ def climate_metrics(s, d):
     from .climate import climate_metrics as plan
 
     cube = orders_cube(s, d).withColumn("value", F.col("value") / 10000)
-    return plan(cube, cube.withColumn("value", F.col("value") - 10), 2000).withColumn("value", F.round("value", 6))
+    return plan(cube, cube.withColumn("value", F.col("value") - 10), 2000).withColumn("value", F.round("value", 9))
 
 
 # ---- rasters ----
@@ -746,6 +747,52 @@ def reorder(s, d):
     return locations.move(read(s, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("position")), 2, -1)
 
 
+@query("SELECT p_partkey FROM part WHERE NOT (p_size < p_retailprice / 40 AND round_even((p_size - 1) / CAST(0.5 AS DOUBLE), 0) >= 0 AND round_even((p_retailprice / 40 - 1) / CAST(0.5 AS DOUBLE), 0) < 65535 AND round_even((p_size - 1) / CAST(0.5 AS DOUBLE), 0) < round_even((p_retailprice / 40 - 1) / CAST(0.5 AS DOUBLE), 0))")
+def bad_display_ranges(s, d):
+    bad = checks.bad_display_range(F.col("p_size").cast("double"), F.col("p_retailprice") / 40, F.lit(0.5), F.lit(1.0))
+    return read(s, d, "part").filter(bad).select("p_partkey")
+
+
+@query(f"WITH {ORDERS}, ym AS (SELECT DISTINCT year(day) AS y, month(day) AS month FROM cube), own AS (SELECT DISTINCT cell, year(day) AS y, month(day) AS month FROM cube) SELECT c.cell, ym.y, ym.month FROM (SELECT DISTINCT cell FROM cube) c, ym WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.cell = c.cell AND own.y = ym.y AND own.month = ym.month)")
+def absent_months(s, d):
+    cube = orders_cube(s, d)
+    return temporal.absent_months(cube, cube.select("cell"))
+
+
+@query(f"WITH {EVENTS}, first AS (SELECT min(day) AS day FROM cube) SELECT DISTINCT cell FROM cube JOIN first USING (day) WHERE value IS NOT NULL")
+def land_mask(s, d):
+    return temporal.land_mask(events_cube(s, d))
+
+
+@query("SELECT count(*) AS matched_edges, CAST(sum(p_size) AS DOUBLE) / 1000 AS matched_length_km, median(p_retailprice) AS median_match_distance_m, quantile_cont(p_retailprice, CAST(0.95 AS DOUBLE)) AS p95_match_distance_m, (SELECT count(*) FROM supplier) AS trunk_edges, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT CAST(p_size % 4 AS VARCHAR) AS k, count(*) AS n FROM part GROUP BY 1)) AS candidates FROM part")
+def match_statistics(s, d):
+    matched = read(s, d, "part").select(F.col("p_partkey").alias("edge_id"), F.col("p_size").alias("length_m"), F.col("p_retailprice").alias("distance"), (F.col("p_size") % 4).cast("long").alias("candidates"))
+    out = evaluation.match_statistics(matched, read(s, d, "supplier"))
+    held = F.concat_ws(",", F.transform(F.array_sort(F.map_entries("candidate_speed_count")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return out.withColumn("candidates", held).drop("candidate_speed_count")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IS NULL OR n_regionkey = 2 OR n_nationkey % 7 = 0")
+def pruning_notes(s, d):
+    notes = read(s, d, "nation").withColumn("source_id", F.when(F.col("n_nationkey") % 7 != 0, F.col("n_regionkey").cast("string")))
+    return bundle.pruning_notes(notes, "2").select("n_nationkey", "n_name")
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0)")
+def stale_files(s, d):
+    wanted = read(s, d, "orders").filter("o_custkey % 3 = 0").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("name"))
+    return bundle.stale_files(read(s, d, "customer").select(F.col("c_name").alias("name")), wanted)
+
+
+@query("SELECT p_brand AS category_id, p_partkey AS id, row_number() OVER (ORDER BY place, p_brand, p_size, p_partkey) AS k FROM part JOIN (SELECT p_brand, CAST(substr(p_brand, 7) AS INTEGER) % 5 AS place FROM (SELECT DISTINCT p_brand FROM part)) USING (p_brand)")
+def assembled_metrics(s, d):
+    p = read(s, d, "part")
+    metrics = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category_id"), F.lit("parts").alias("source_id"), F.col("p_size").alias("ordinal"))
+    categories = p.select(F.col("p_brand").alias("id"), (F.substring("p_brand", 7, 9).cast("int") % 5).alias("ordinal"))
+    out = bundle.assemble(metrics, categories, s.sql("SELECT 'parts' AS id"))
+    return out.withColumn("k", F.row_number().over(Window.orderBy(F.substring("category_id", 7, 9).cast("int") % 5, "category_id", "ordinal", "id")).cast("long")).select("category_id", "id", "k")
+
+
 # ---- streams ----
 
 
