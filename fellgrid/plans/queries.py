@@ -135,7 +135,7 @@ def unknown_exclusions(s, d):
     return temporal.unknown_exclusions(events_cube(s, d), s.sql("SELECT * FROM VALUES (1), (2), (999999) AS t(cell)"))
 
 
-CLIMATE = f"""WITH {ORDERS}, hi AS (SELECT cell, day, value / 10000 AS v FROM cube), lo AS (SELECT cell, day, value / 10000 - 10 AS v FROM cube),
+CLIMATE = f"""WITH {ORDERS}, hi AS (SELECT cell, day, floor(value / 100) / 100 AS v FROM cube), lo AS (SELECT cell, day, floor(value / 100) / 100 - 10 AS v FROM cube),
 ym AS (SELECT DISTINCT year(day) AS y, month(day) AS m FROM cube), cov AS (SELECT m, count(*) AS years FROM ym GROUP BY m),
 winter AS (SELECT y, m FROM (SELECT y, m, count(*) OVER (PARTITION BY y + CASE WHEN m = 12 THEN 1 ELSE 0 END) AS n FROM ym WHERE m IN (12, 1, 2)) WHERE n = 3),
 summer AS (SELECT y, m FROM (SELECT y, m, count(*) OVER (PARTITION BY y) AS n FROM ym WHERE m IN (6, 7, 8)) WHERE n = 3 AND y = 2000),
@@ -146,7 +146,7 @@ e AS (SELECT 'heat_days_tmax_gt_25' AS metric, cell, month(day) AS m, count(*) F
   UNION ALL SELECT 'heat_days_tmax_gt_30', cell, month(day), count(*) FILTER (v > 30) FROM hi GROUP BY ALL
   UNION ALL SELECT 'heat_tropical_nights_tmin_gt_20', cell, month(day), count(*) FILTER (v > 20) FROM lo GROUP BY ALL
   UNION ALL SELECT 'cold_air_frost_days', cell, month(day), count(*) FILTER (v < 0) FROM lo GROUP BY ALL)
-SELECT metric, cell, round(value, 9) AS value FROM (
+SELECT metric, cell, round(value, 6) AS value FROM (
 SELECT metric, cell, sum(CAST(n AS DOUBLE) / years) AS value FROM e JOIN cov USING (m) GROUP BY metric, cell
 UNION ALL SELECT 'heat_longest_run_tmax_gt_25', c.cell, CAST(coalesce(max(n), 0) AS DOUBLE) FROM (SELECT DISTINCT cell FROM hi) c LEFT JOIN isl USING (cell) GROUP BY c.cell
 UNION ALL SELECT 'heat_2000_longest_run_tmax_gt_25', c.cell, CAST(coalesce(max(n), 0) AS DOUBLE) FROM (SELECT DISTINCT cell FROM hi WHERE year(day) = 2000) c LEFT JOIN isl ON isl.cell = c.cell AND y = 2000 GROUP BY c.cell
@@ -162,8 +162,8 @@ UNION ALL SELECT 'cold_winter_tmin_p05', cell, quantile_cont(v, CAST(0.05 AS DOU
 def climate_metrics(s, d):
     from .climate import climate_metrics as plan
 
-    cube = orders_cube(s, d).withColumn("value", F.col("value") / 10000)
-    return plan(cube, cube.withColumn("value", F.col("value") - 10), 2000).withColumn("value", F.round("value", 9))
+    cube = orders_cube(s, d).withColumn("value", F.floor(F.col("value") / 100) / 100)
+    return plan(cube, cube.withColumn("value", F.col("value") - 10), 2000).withColumn("value", F.round("value", 6))
 
 
 # ---- rasters ----
