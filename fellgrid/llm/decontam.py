@@ -3,10 +3,10 @@
 A text becomes a sequence of template words: numbers turn into ``<num>``, a unit after a number into
 ``<unit>``, a name into ``<name>``; the others are lower-cased and lose the punctuation around
 them.  Names are capitalised words, also with capitals inside (McLean), and short words of capitals alone (USA); names that follow one
-another without punctuation are one (New York), its value all its words.  A capitalised word that begins a sentence or a line, and a
+another without punctuation are one (New York), its value all its words; a capitalised article before one inside a sentence belongs to it (Los Angeles).  A capitalised word that begins a sentence or a line, and a
 word of capitals, may be a name or not: windows are made with
-both readings, in texts and items, so that a passage meets its copy whatever stands before it; the first word of a sentence is not
-joined with names after it.  An item's first word is also read as a unit if it can be one.  Question words, articles and the like are no names anywhere.  Windows of template words are hash-joined with those of the benchmark items, so a
+both readings, in texts and items, so that a passage meets its copy whatever stands before it; where a name follows the first word of
+a sentence, there are windows with both joined, too, and items have a second variant with all such words joined.  An item's first word is also read as a unit if it can be one.  Question words, articles and the like are no names anywhere.  Windows of template words are hash-joined with those of the benchmark items, so a
 question with other numbers or names still meets its item.  Along one alignment the slots must agree: equal
 values of the item must stand for equal values in the document, else it isn't the same question re-parameterised.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?")
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-z%/]+)")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_PLAIN, _NUM, _NAME, _CAPITALS = 0, 1, 2, 3
+_PLAIN, _NUM, _NAME, _CAPITALS, _STARTER = 0, 1, 2, 3, 4
 _UNITS, _NUMBER_WORDS, _STARTERS = set(UNITS), set(NUMBER_WORDS), set(STARTERS)
 _LINE = b" \x1e "  # stands for a line break: a word of punctuation alone that ends a sentence
 
@@ -67,8 +68,10 @@ class Template(dict):
         glued = _GLUED.fullmatch(low)
         if low in _NUMBER_WORDS or _NUMBER.fullmatch(bare) or (glued and glued[2] in _UNITS):
             kind = _NUM
-        elif len(bare) > 1 and bare[0].isupper() and low not in _STARTERS:
-            if bare[-1].islower():
+        elif len(bare) > 1 and bare[0].isupper():
+            if low in _STARTERS:
+                kind = _STARTER
+            elif bare[-1].islower():
                 kind = _NAME
             elif len(bare) <= 5 and bare.isupper() and bare.isalpha():
                 kind = _CAPITALS
@@ -83,8 +86,8 @@ class Template(dict):
         self[raw] = n
         return n
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text number, hash, value hash, is a slot, may be literal, may be a unit, first entry, entries) of each template word of the texts, and all entries.
+    def of(self, texts: list[bytes]) -> tuple[Words, Words | None]:
+        """The template words of the texts; and with names joined to the first words of sentences, if there are any.
 
         A name that begins a sentence or a line may be literal instead, as may a word of capitals; a text's first word may be a unit.
         """
@@ -104,6 +107,9 @@ class Template(dict):
         kind, code = self.kind[entry], self.hash[entry].copy()
         num, name = kind == _NUM, (kind == _NAME) | (kind == _CAPITALS)
         inner = np.r_[False, doc[1:] == doc[:-1]] if len(doc) else num
+        glued = np.r_[False, inner[1:] & ~apart[1:] & ~begins[1:] & self.open[entry[:-1]]] if len(doc) else num
+        # an article with a capital inside a sentence belongs to the name after it
+        name |= (kind == _STARTER) & ~begins & np.r_[glued[1:] & (kind == _NAME)[1:], False] if len(doc) else num
         after = inner & np.r_[False, num[:-1]] if len(doc) else num
         unit = after & self.unit[entry] & ~num
         name &= ~unit
@@ -111,15 +117,46 @@ class Template(dict):
         code[num], code[name], code[unit] = 3, 5, 7
         first_unit = ~inner & self.unit[entry] & ~num
         # names one after the other become one
-        sure = name & ~literal
-        more = np.r_[False, sure[1:] & sure[:-1] & inner[1:] & ~apart[1:] & self.open[entry[:-1]]] if len(doc) else num
-        head = np.flatnonzero(~more)
-        many = np.diff(np.r_[head, len(doc)])
-        value = self.hash[entry][head]
-        for k in np.flatnonzero(many > 1):
-            for e in entry[head[k] + 1 : head[k] + many[k]]:
-                value[k] = (int(value[k]) * int(_STEP) + int(self.hash[e])) & 0xFFFFFFFFFFFFFFFF
-        return doc[head], code[head], value, (num | name | unit)[head], literal[head], first_unit[head], head, many, entry
+        sure, firm = name & ~literal, name & (kind != _CAPITALS)
+
+        def joined(left: np.ndarray) -> Words:
+            more = glued & np.r_[False, sure[1:] & left[:-1]] if len(doc) else glued
+            head = np.flatnonzero(~more)
+            many = np.diff(np.r_[head, len(doc)])
+            value = self.hash[entry][head]
+            for k in np.flatnonzero(many > 1):
+                for e in entry[head[k] + 1 : head[k] + many[k]]:
+                    value[k] = (int(value[k]) * int(_STEP) + int(self.hash[e])) & 0xFFFFFFFFFFFFFFFF
+            return Words(doc[head], code[head], value, (num | name | unit)[head], literal[head] & (many == 1), first_unit[head], head, many, entry)
+
+        plain = joined(sure)
+        at_start = glued[1:] & sure[1:] & (firm & begins)[:-1] if len(doc) else glued
+        return plain, joined(firm) if at_start.any() else None
+
+
+@dataclass
+class Words:
+    """Template words: text number, code, hash of the value, whether it is a slot, may be literal, may be a unit; first entry and number of entries of each; all entries."""
+
+    doc: np.ndarray
+    code: np.ndarray
+    value: np.ndarray
+    slot: np.ndarray
+    literal: np.ndarray
+    unit: np.ndarray
+    head: np.ndarray
+    many: np.ndarray
+    entry: np.ndarray
+
+    def around(self, marked: np.ndarray, size: int) -> tuple[Words, np.ndarray]:
+        """(the words less than ``size`` from marked ones, each stretch with a number of its own as text; their places in the whole)."""
+        near = np.zeros(len(marked), bool)
+        for at in range(-size + 1, size):
+            near |= np.roll(marked, at)
+        place = np.flatnonzero(near)
+        stretch = np.cumsum(np.r_[True, (np.diff(place) > 1) | (self.doc[place[1:]] != self.doc[place[:-1]])]) if len(place) else place
+        take = lambda x: x[place]
+        return Words(stretch, *(take(x) for x in (self.code, self.value, self.slot, self.literal, self.unit, self.head, self.many)), self.entry), place
 
 
 def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, value: np.ndarray, size: int, other: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +201,9 @@ def _windows(doc: np.ndarray, code: np.ndarray, slot: np.ndarray, value: np.ndar
 
 
 def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list[int] | None, bits: int, wanted: np.ndarray | None) -> DataFrame:
-    """(id, total, usable, pos, exact, h, slots): the template windows of each text.
+    """(id, variant, total, usable, pos, exact, h, slots): the template windows of each text.
+
+    variant: 0, or 1 with names joined to the first words of sentences.  Of benchmark items that has all windows, of other texts those that hold a joined name.
 
     exact: by value.  usable: how many of the text's ``total`` windows make templates.
 
@@ -178,33 +217,47 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
         bitmap = held.value if held is not None else None
         for batch in slices(batches, "text", 2 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, code, value, slot, literal, unit, head, many, entry = made.of(byte_rows(batch.column(1)))
-            other = [(literal, value, False)] + ([(unit, np.full(len(code), 7, np.uint64), True)] if sizes is None else [])
-            first = np.searchsorted(doc, np.arange(len(ids) + 1))
-            length = np.diff(first)
             out: list[tuple] = []
-            usable = np.zeros(len(ids), np.int64)
-            for n in sizes or range(1, size + 1):
-                start, h, slots_of, exact = _windows(doc, code, slot, value, n, other)
-                if sizes is None:
-                    here = np.flatnonzero(length[doc[start]] == n if n < size else length[doc[start]] >= n)
-                    usable += np.bincount(doc[np.unique(start[here][~exact[here]])], minlength=len(ids))
-                else:
-                    low = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    here = np.flatnonzero((bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
-                for i in here:
-                    s = start[i]
-                    d = doc[s]
-                    values = [" ".join(made.value[e] for e in entry[head[s + j] : head[s + j] + many[s + j]]) for j in range(n) if slots_of[i] >> j & 1]
-                    total = max(1, int(length[d]) - size + 1)
-                    out.append((int(ids[d]), total, int(usable[d]), int(s - first[d]), bool(exact[i]), int(h[i].view(np.int64)), values))
+            for variant, words in enumerate(made.of(byte_rows(batch.column(1)))):
+                if words is None:
+                    continue
+                whole = words
+                place = np.arange(len(words.doc))
+                # a joined name at the start of a sentence; a literal reading has gone
+                fresh = (words.many > 1) & ~np.isin(words.head, plain.head[plain.many > 1]) if variant else np.zeros(0, bool)
+                if variant and sizes is not None:
+                    words, place = whole.around(fresh, size)
+                plain = plain if variant else words
+                first = np.searchsorted(whole.doc, np.arange(len(ids) + 1))
+                length = np.diff(first)
+                has = np.bincount(whole.doc[fresh], minlength=len(ids)) > 0 if variant else np.ones(len(ids), bool)
+                other = [(words.literal, words.value, False)] + ([(words.unit, np.full(len(words.code), 7, np.uint64), True)] if sizes is None else [])
+                usable = np.zeros(len(ids), np.int64)
+                held_before = np.r_[0, np.cumsum(fresh[place])] if variant else None
+                for n in sizes or range(1, size + 1):
+                    start, h, slots_of, exact = _windows(words.doc, words.code, words.slot, words.value, n, other)
+                    doc = whole.doc[place]
+                    if sizes is None:
+                        here = np.flatnonzero(has[doc[start]] & (length[doc[start]] == n if n < size else length[doc[start]] >= n))
+                        usable += np.bincount(doc[np.unique(start[here][~exact[here]])], minlength=len(ids))
+                    else:
+                        low = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+                        hit = (bitmap[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
+                        here = np.flatnonzero(hit & (held_before[start + n] > held_before[start]) if variant else hit)
+                    for i in here:
+                        s = start[i]
+                        d = doc[s]
+                        heads, many = words.head[s : s + n], words.many[s : s + n]
+                        values = [" ".join(made.value[e] for e in words.entry[heads[j] : heads[j] + many[j]]) for j in range(n) if slots_of[i] >> j & 1]
+                        total = max(1, int(length[d]) - size + 1)
+                        out.append((int(ids[d]), variant, total, int(usable[d]), int(place[s] - first[d]), bool(exact[i]), int(h[i].view(np.int64)), values))
             if out:
                 cols = list(zip(*out))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "total", "usable", "pos", "exact", "h", "slots"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "variant", "total", "usable", "pos", "exact", "h", "slots"])
 
     pair = table.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return pair.mapInArrow(run, "id long, total long, usable long, pos long, exact boolean, h long, slots array<string>")
+    return pair.mapInArrow(run, "id long, variant int, total long, usable long, pos long, exact boolean, h long, slots array<string>")
 
 
 def find_leaks(
@@ -228,17 +281,18 @@ def find_leaks(
     shorter = [r[0] for r in items.filter("total = 1").groupBy("id").agg(F.count("*")).limit(1).collect()]
     sizes = list(range(1, size + 1)) if shorter else [size]
     hits = _template_rows(docs, key, text, size, sizes, bits, bitmap)
-    theirs = items.select("h", F.col("id").alias("item"), "total", "usable", F.col("pos").alias("ipos"), F.col("exact").alias("by_value"), F.col("slots").alias("islots"))
+    theirs = items.select("h", F.col("id").alias("item"), "variant", "total", "usable", F.col("pos").alias("ipos"), F.col("exact").alias("by_value"), F.col("slots").alias("islots"))
     met = hits.select("id", "pos", "h", "slots").join(theirs, "h")
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "slots"))))
     templates = F.collect_set(F.when(~F.col("by_value"), F.col("ipos")))
-    aligned = met.groupBy("id", "item", "total", "usable", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("covered"), templates.alias("templates"), pairs.alias("pairs"))
+    aligned = met.groupBy("id", "item", "variant", "total", "usable", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("covered"), templates.alias("templates"), pairs.alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda x: x["islots"]))
     same = ~F.exists("pairs", lambda x: ~x["islots"].eqNullSafe(x["slots"]))
     sound = aligned.filter(F.size(values) == F.size("pairs")).withColumn("same", same)
     met_by = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    whole = sound.groupBy("id", "item", "total", "usable").agg(met_by("covered").alias("n"), met_by("templates").alias("m"), F.min("same").alias("same"))
+    whole = sound.groupBy("id", "item", "variant", "total", "usable").agg(met_by("covered").alias("n"), met_by("templates").alias("m"), F.min("same").alias("same"))
     share = F.when(2 * F.col("usable") > F.col("total"), F.col("m") / F.col("usable")).otherwise(0.0)
     whole = whole.withColumn("exact", F.col("same") & (F.col("n") - F.col("m") >= F.col("total") - F.col("usable")))
     out = whole.withColumn("coverage", F.greatest(F.col("n") / F.col("total"), share)).filter(F.col("coverage") >= similarity)
-    return out.select(F.col("id").alias(key), F.col("item").alias(item), "coverage", "exact")
+    best = out.groupBy("id", "item").agg(F.max(F.struct("coverage", "exact")).alias("best"))  # of an item's variants
+    return best.select(F.col("id").alias(key), F.col("item").alias(item), "best.coverage", "best.exact")
