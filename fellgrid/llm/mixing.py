@@ -90,7 +90,10 @@ def mix_sources(
     known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), words))
     marked = sized.withColumn(name, named(F.col(source))).withColumn(order, F.md5(F.concat(F.lit(seed), known))).withColumn(tie, F.md5(words))
     unit = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    dealt = marked.join(goals, name).withColumn(part, F.floor(unit * F.ceil(F.col(rows) / F.lit(float(stratum)))))
+    # sources are few unless there is one a web domain; beyond a checked number they meet in a join that can be split
+    few = body.select(source).distinct().limit(100_001).count() <= 100_000
+    dealt = marked.join(F.broadcast(goals) if few else goals, name).withColumn(part, F.floor(unit * F.ceil(F.col(rows) / F.lit(float(stratum)))))
+    dealt = dealt.repartition(name, part)  # by stratum; rows dealt by source alone would do for the window, but leave a hot source in one task
     dealt = dealt.withColumn(place, F.row_number().over(Window.partitionBy(name, part).orderBy("size", order, tie)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
