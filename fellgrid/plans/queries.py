@@ -821,7 +821,9 @@ def box_polygons(s, d):
         for f in frames:
             yield f[["box"]].assign(geom=[g.write_wkb(g.box(*r)) for r in zip(f["minx"], f["miny"], f["maxx"], f["maxy"])])
 
-    return geometry.admit(boxes(s, d).mapInPandas(run, "box long, geom binary"))
+    # a table of few bytes is read in one part, but its shapes are work for all cores
+    dealt = boxes(s, d).repartition(4 * s.sparkContext.defaultParallelism)
+    return geometry.admit(dealt.mapInPandas(run, "box long, geom binary"))
 
 
 @query(f"WITH {AREA} SELECT box, cx, cy, round(area, 9) AS area FROM a WHERE area > CAST(1e-12 AS DOUBLE)")
