@@ -171,3 +171,23 @@ def test_locations(spark):
     for bad in ('[{"name": ""}]', '[{"name": "x", "lat": 91}]', '{"format": "other"}'):
         with pytest.raises(ValueError):
             locations.load(spark, bad)
+
+
+def test_points_in_boxes_tiles(spark):
+    """Many points and boxes in few cells: every pair once for each pair of rows, equal rows, edges and nulls included, and no task that has most of them."""
+    rng = random.Random(8)
+    spot = lambda: rng.choice([rng.randrange(-12, 13) / 4, rng.uniform(-3, 3)])
+    dots = [(k, spot(), spot()) for k in range(300)] + [(k, 0.25, 0.5) for k in range(300, 340)] + [(7, 0.25, 0.5)] * 3
+    bounds = [(k, x := spot(), y := spot(), x + rng.randrange(1, 9) / 4, y + rng.randrange(1, 9) / 4) for k in range(120)] + [(120, -1.0, -1.0, 1.0, 1.0)] * 2
+    p = spark.createDataFrame([*dots, (900, None, 0.0), (901, float("nan"), 0.0)], "point long, x double, y double")
+    b = spark.createDataFrame(bounds, "box long, minx double, miny double, maxx double, maxy double")
+    for border in (False, True):
+        near = (lambda a, v, c: a <= v <= c) if border else (lambda a, v, c: a < v < c)
+        want = sorted((i, n) for i, x, y in dots for n, lx, ly, hx, hy in bounds if near(lx, x, hx) and near(ly, y, hy))
+        for size, most in ((2.0, 5), (0.7, 4), (2.0, 2048)):
+            found = spatial.points_in_boxes(p, b, size, border=border, most=most)
+            assert found.columns == ["point", "x", "y", "box", "minx", "miny", "maxx", "maxy"]
+            assert sorted((r["point"], r["box"]) for r in found.collect()) == want
+    one = spatial.points_in_boxes(spark.range(400).select("id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y")), spark.range(400).select(F.col("id").alias("box"), F.lit(0.1).alias("minx"), F.lit(0.1).alias("miny"), F.lit(0.9).alias("maxx"), F.lit(0.9).alias("maxy")), 1.0, most=50)
+    sizes = [r["count"] for r in one.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 160_000 and max(sizes) < 40_000
