@@ -7,8 +7,10 @@ work on UTF-8 without decoding.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system; the allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, TypeError, AttributeError):  # glibc's; other C libraries have none
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving memory back each ``most`` bytes of input and when its arrays are gone.
+
+    Python workers outlive their tasks, idle ones too, and share their executor's memory with its JVM.
+    """
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[pa.RecordBatch]:
+            size = 0
+            for batch in batches:
+                size += batch.nbytes
+                yield batch
+                if size >= most:
+                    size = 0
+                    give_back()
+
+        yield from run(read())
+        give_back()
+
+    return lean_run
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for a bounded number of words."""
 

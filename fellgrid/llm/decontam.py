@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, cut, mix, slices
+from .common import byte_rows, cut, lean, mix, slices
 
 #: Spelled-out numbers and units, in the forms that texts use.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -215,7 +215,7 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Template()
         bitmap = held.value if held is not None else None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out: list[tuple] = []
             for variant, words in enumerate(made.of(byte_rows(batch.column(1)))):
@@ -257,7 +257,7 @@ def _template_rows(table: DataFrame, key: str, text: str, size: int, sizes: list
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "variant", "total", "usable", "pos", "exact", "h", "slots"])
 
     pair = table.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return pair.mapInArrow(run, "id long, variant int, total long, usable long, pos long, exact boolean, h long, slots array<string>")
+    return pair.mapInArrow(lean(run), "id long, variant int, total long, usable long, pos long, exact boolean, h long, slots array<string>")
 
 
 def find_leaks(

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, mix, slices
+from .common import byte_rows, lean, mix, slices
 
 #: Longest word that is one position of the chain, in bytes; longer runs become several.
 _PIECE = 48
@@ -322,7 +322,7 @@ def identify(docs: DataFrame, model: Crf, *, text: str = "text", unknown: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Crf(*shared.value)
         cache = _Emissions(own)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 19):
             n = batch.num_rows
             pred, score = np.array([unknown] * n, object), np.zeros(n)
             if own.labels:
@@ -338,4 +338,4 @@ def identify(docs: DataFrame, model: Crf, *, text: str = "text", unknown: str =
     from pyspark.sql import types as T
 
     schema = T.StructType([*body.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return body.mapInArrow(run, schema)
+    return body.mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, byte_rows, components, cut, slices, window_hashes
+from .common import WordHash, byte_rows, components, cut, lean, slices, window_hashes
 
 #: Bytes kept of each hash in a stored set: 48 bits, so that two of a pair's hashes meet by chance once in about 10**9 pairs.
 _BYTES = 6
@@ -56,7 +56,7 @@ def sketch_texts(docs: DataFrame, *, key: str, text: str, size: int, k: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), sketch], ["id", "n", "digest", "sketch"])
 
     pair = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return pair.mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
+    return pair.mapInArrow(lean(run), "id long, n long, digest binary, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, *, key: str, text: str, size:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(bodies, pa.binary())], ["id", "n", "body"])
 
     pair = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return pair.join(wanted, "id", "left_semi").mapInArrow(run, "id long, n long, body binary")
+    return pair.join(wanted, "id", "left_semi").mapInArrow(lean(run), "id long, n long, body binary")
 
 
 def _values(body) -> np.ndarray:
@@ -98,7 +98,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("body").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("body").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _tile(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, out: np.ndarray, asks: np.ndarray, heads: list[np.ndarray], percent: int, first: int, best: int | None) -> tuple[list[tuple[int, int, bool]], bool]:
@@ -178,7 +178,7 @@ def _search(tiles: DataFrame, percent: int, first: int, best: int | None) -> Dat
             yield done(group)
 
     order = tiles.select("v", "p", "q", "id", "n", "component", "out", "asks", "head").repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
-    return order.mapInArrow(run, "a long, b long, sure boolean")
+    return order.mapInArrow(lean(run), "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, k: int = 64, first: int = 256, block: int = 1024) -> DataFrame:

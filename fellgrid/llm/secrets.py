@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_rows, mix, slices
+from .common import byte_rows, lean, mix, slices
 from .langid import forward_backward
 
 #: The base patterns, in the order that ties take.
@@ -533,7 +533,7 @@ def scan_secrets(docs: DataFrame, field: SecretField | None, *, text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if shared.value is None else SecretField(*shared.value)
         table = None if own is None else _Tokens(own.own)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 19):
             rows = []
             nulls = batch.column(where).is_null().to_pylist()
             texts = [raw.decode("utf-8", "replace") for raw in byte_rows(batch.column(where))]
@@ -562,4 +562,4 @@ def scan_secrets(docs: DataFrame, field: SecretField | None, *, text: str = "tex
 
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.StringType()]
     fields = [*body.schema.fields] + ([T.StructField(n, t) for n, t in zip(new, kinds)] if redact is None else [])
-    return body.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]))
+    return body.mapInArrow(lean(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]))
