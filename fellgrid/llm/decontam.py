@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,15 @@ _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([a-z%/]+)")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%]+$")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN, _NUM, _NAME, _CAPITALS, _STARTER = 0, 1, 2, 3, 4
-_UNITS, _NUMBER_WORDS, _STARTERS = set(UNITS), set(NUMBER_WORDS), set(STARTERS)
+_UNITS, _NUMBER_WORDS, _STARTERS, _STOPS = set(UNITS), set(NUMBER_WORDS), set(STARTERS), set(".!?:\x1e")
 _LINE = b" \x1e "  # stands for a line break: a word of punctuation alone that ends a sentence
 
 
 class Template(dict):
-    """word -> number of its entry; entries hold hash, kind (plain, number, name, short word of capitals), unit, sentence end and punctuation after it."""
+    """word -> number of its entry; entries hold hash, kind (plain, number, name, short word of capitals), unit, sentence end and punctuation after it.
+
+    Words that weren't met before wait in ``new`` until ``learn`` makes their entries, all at once.
+    """
 
     def __init__(self, most: int = 150_000):
         self.most = most
@@ -57,35 +61,47 @@ class Template(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.used, self.hash, self.kind, self.value = 0, np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int8), []
-        self.unit, self.stop, self.open = (np.zeros(1 << 14, bool) for _ in range(3))
+        self.new: list[bytes] = []
+        self.hash, self.kind, self.value = np.zeros(0, np.uint64), np.zeros(0, np.int8), []
+        self.unit, self.stop, self.open = (np.zeros(0, bool) for _ in range(3))
 
     def __missing__(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        bare = _EDGE.sub("", word)
-        low = bare.lower()
-        kind = _PLAIN
-        glued = _GLUED.fullmatch(low)
-        if low in _NUMBER_WORDS or _NUMBER.fullmatch(bare) or (glued and glued[2] in _UNITS):
-            kind = _NUM
-        elif len(bare) > 1 and bare[0].isupper():
-            if low in _STARTERS:
-                kind = _STARTER
-            elif bare[-1].islower():
-                kind = _NAME
-            elif len(bare) <= 5 and bare.isupper() and bare.isalpha():
-                kind = _CAPITALS
-        if self.used == len(self.hash):
-            self.hash, self.kind, self.unit, self.stop, self.open = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.unit, self.stop, self.open))
-        n = self.used
-        # a word of punctuation alone is no template word: hash 0
-        self.hash[n] = xxhash.xxh3_64_intdigest(low.encode()) | 1 if low else 0
-        self.kind[n], self.unit[n], self.stop[n], self.open[n] = kind, low in _UNITS, word[-1:] in ".!?:\x1e", word.endswith(bare)
-        self.value.append(low)
-        self.used += 1
-        self[raw] = n
+        n = self[raw] = len(self)
+        self.new.append(raw)
         return n
 
+    def learn(self) -> None:
+        """Entries of the new words."""
+        words = b"\n".join(self.new).decode("utf-8", "replace").split("\n")
+        # what is letters alone but for marks after it has nothing else at its edges and is no number in digits
+        bare = [w.rstrip(".,;:!?") for w in words]
+        odd = [i for i, b in enumerate(bare) if not b.isalpha()]
+        for i in odd:
+            bare[i] = _EDGE.sub("", words[i])
+        low = [b.lower() for b in bare]
+        kind = np.full(len(words), _PLAIN, np.int8)
+        for i, b in enumerate(bare):
+            if b[:1].isupper() and len(b) > 1:
+                if low[i] in _STARTERS:
+                    kind[i] = _STARTER
+                elif b[-1].islower():
+                    kind[i] = _NAME
+                elif len(b) <= 5 and b.isupper() and b.isalpha():
+                    kind[i] = _CAPITALS
+        kind[[i for i, x in enumerate(low) if x in _NUMBER_WORDS]] = _NUM
+        for i in odd:
+            glued = _GLUED.fullmatch(low[i])
+            if _NUMBER.fullmatch(bare[i]) or (glued and glued[2] in _UNITS):
+                kind[i] = _NUM
+        # a word of punctuation alone is no template word: hash 0
+        hashes = [xxhash.xxh3_64_intdigest(x) | 1 if x else 0 for x in "\n".join(low).encode().split(b"\n")]
+        self.hash, self.kind = np.r_[self.hash, np.array(hashes, np.uint64)], np.r_[self.kind, kind]
+        self.unit = np.r_[self.unit, [x in _UNITS for x in low]]
+        self.stop = np.r_[self.stop, [w[-1] in _STOPS for w in words]]
+        self.open = np.r_[self.open, [w.endswith(b) for w, b in zip(words, bare)]]
+        self.value += low
+        self.new = []
+
     def of(self, texts: list[bytes]) -> tuple[Words, Words | None]:
         """The template words of the texts; and with names joined to the first words of sentences, if there are any.
 
@@ -95,7 +111,9 @@ class Template(dict):
             self.reset()
         split = [t.replace(b"\r", b"\n").replace(b"\n", _LINE).split() for t in texts]
         doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
-        entry = np.fromiter((self[w] for words in split for w in words), np.int64, len(doc))
+        entry = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, len(doc))
+        if self.new:
+            self.learn()
         stop = self.stop[entry]
         begins = np.r_[True, stop[:-1] | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
         real = self.hash[entry] != 0
